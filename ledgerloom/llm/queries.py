@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import canonical
+from ledgerloom.llm import canonical, linkage
 from ledgerloom.runtime import table
 
 
@@ -16,5 +16,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_mapped(spark, d).select("rec_id", "field_name", "canon_code")
 
 
-QUERIES = {"p1_found": p1_found}
+def p5_linked(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.link(table(spark, d, "statement_lines"), table(spark, d, "clients"), table(spark, d, "policies"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_linked(spark, d).select("line_id", "client_id")
+
+
+QUERIES = {"p1_found": p1_found, "p5_found": p5_found}
 SQL: dict[str, str] = {}
