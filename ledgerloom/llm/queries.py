@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerloom.llm import canonical, linkage
+from ledgerloom.llm import address_match, canonical, linkage
 from ledgerloom.runtime import table
 
 
@@ -24,5 +25,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_linked(spark, d).select("line_id", "client_id")
 
 
-QUERIES = {"p1_found": p1_found, "p5_found": p5_found}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return address_match.same_place(table(spark, d, "clients")).select(F.col("a").alias("rec_id_a"), F.col("b").alias("rec_id_b"))
+
+
+QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p6_found": p6_found}
 SQL: dict[str, str] = {}
