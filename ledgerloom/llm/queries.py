@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import address_match, canonical, linkage
-from ledgerloom.runtime import table
+from ledgerloom.llm import address_match, canonical, linkage, mixing, packing, pii, tokens
+from ledgerloom.runtime import durable, table
 
 
 def p1_mapped(spark: SparkSession, d: str) -> DataFrame:
@@ -29,5 +29,43 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return address_match.same_place(table(spark, d, "clients")).select(F.col("a").alias("rec_id_a"), F.col("b").alias("rec_id_b"))
 
 
-QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p6_found": p6_found}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.mentions(table(spark, d, "clients"))
+
+
+def p7_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find(table(spark, d, "clients")).select("rec_id", "redacted")
+
+
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    return durable(tokens.with_tokens(table(spark, d, "documents").select("doc_id", "source", "text")).drop("text"))
+
+
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(_sized(spark, d), table(spark, d, "pack_sizes")).drop("filled")
+
+
+def p8_fill_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p8_packed(spark, d))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(_sized(spark, d), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.share_report(p9_mixture(spark, d), table(spark, d, "mix_targets"))
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p5_found": p5_found,
+    "p6_found": p6_found,
+    "p7_found": p7_found,
+    "p7_redacted": p7_redacted,
+    "p8_packed": p8_packed,
+    "p8_fill_report": p8_fill_report,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
+}
 SQL: dict[str, str] = {}
