@@ -1,0 +1,149 @@
+"""Voters for abusive, threatening, hateful or sexually explicit language, and the reading of disguised words.
+
+Each voter looks at a few words of cleaned text and fires or abstains; none is trusted by itself. How far each
+can be relied on is estimated from how they agree over all documents.
+"""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+
+# Words that insult, swear, name groups, demean, or are sexual, in English and Spanish, without accents.
+INSULTS = "idiot idiots moron morons imbecile imbeciles cretin cretins retard retards retarded bastard bastards bitch bitches bitchs asshole assholes arsehole dumbass dumbasss dumbasses jackass scumbag scumbags scum parasite parasites pig pigs loser losers dimwit halfwit prick wanker twat whore slut cunt motherfucker dickhead shithead"
+INSULTS_ES = "imbecil imbeciles idiota idiotas estupido estupida estupidos estupidas inutil inutiles cabron cabrona cabrones pendejo pendeja pendejos pendejas puta puto putos gilipollas mamon culero zorra perra malnacido"
+SWEARS = "fuck fucks fucking fucked fucker shit shits shitty bullshit crap goddamn damn damned piss mierda joder chinga chingada carajo pinche cojones"
+SLURS_AT_WORK = "stupid brainless worthless useless pathetic disgusting filthy lying dirty sucio sucia asqueroso asquerosa maldito maldita malditos"
+GROUPS = "muslim muslims jew jews black blacks asian asians mexican mexicans immigrant immigrants refugee refugees foreigner foreigners gypsy gypsies gay gays lesbian lesbians cripple cripples women religion scarf accent musulmanes judios inmigrantes extranjeros gitanos negros maricones refugiados mexicanos mujeres hindus arabs africans"
+DEMEANING = "filthy vermin rats rat animals animal trash filth cockroaches cockroach disease subhuman liars thieves plague lazy dumb cage basura plaga ladrones ratas animales cerdos breed scum savages"
+BODY = "breasts breast tits tit ass asses cock dick penis pussy thighs crotch nipples shaft lips boobs balls naked nude topless undressed horny desnuda desnudo ropa tetas culo verga"
+UNDRESS = "bra panties blouse clothes shirt skirt underwear ropa"
+
+_SETS = {k: set(v.split()) for k, v in dict(
+    insult=INSULTS, insult_es=INSULTS_ES, swear=SWEARS, slur=SLURS_AT_WORK, group=GROUPS, demean=DEMEANING, body=BODY, undress=UNDRESS).items()}
+#: Words that disguises are resolved to.
+_KNOWN = set().union(*(_SETS[k] for k in ("insult", "insult_es", "swear", "body", "demean", "slur"))) | set(
+    "screw bang ride strip suck sex fag kill vermin subhuman die regret nude whore lick moan".split())
+_MASKABLE = sorted(_KNOWN)
+_LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l", "+": "t"})
+#: Letters of other scripts that look like Latin ones.
+_TWINS = str.maketrans("асеіїорхуѕјкмнтвԁгӏαορν", "aceiiopxysjkmhtbdrlaopv")
+_INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
+
+SEGMENT = re.compile(r"[\r\n]+|\s{2,}|(?<=[.!?…])\s+|[\U0001F300-\U0001FAFF]")
+WINDOW, STRIDE = 12, 6
+
+
+def _plain(text: str) -> str:
+    flat = unicodedata.normalize("NFKD", _INVISIBLE.sub("", text))
+    return "".join(c for c in flat if not unicodedata.combining(c)).lower().translate(_TWINS)
+
+
+def _known(word: str) -> str:
+    """The word itself, or with drawn-out letters shortened, if it is one that disguises are resolved to; else ''."""
+    for w in (word, re.sub(r"(.)\1{2,}", r"\1", word), re.sub(r"(.)\1{2,}", r"\1\1", word), re.sub(r"(.)\1+", r"\1", word)):
+        for end in ("", "s", "es"):
+            if w in _KNOWN or (end and w.endswith(end) and w[: -len(end)] in _KNOWN):
+                return w
+    return ""
+
+
+def reveal(token: str) -> str:
+    """A token with look-alike signs read as letters, spelling dots removed, and masked words restored."""
+    core = token.strip(".,;:?\"'()[]{}<>…¿¡")
+    bare = re.sub(r"!+$", "", core)
+    if re.fullmatch(r"[a-z]+(?:['-][a-z]{2,})*", bare):
+        word = bare.replace("'", "")
+        return (_known(word) or word) if re.search(r"(.)\1\1", word) else word
+    if not core or re.fullmatch(r"[$€]?[\d.,/%:-]+|[a-z]\d{4,}", core):
+        return "0" if core else ""
+    for form in dict.fromkeys((core, bare)):  # a final '!' may be a letter or a shout
+        if m := re.fullmatch(r"([a-z]+)([.*#_-]{1,9})([a-z]+)", form):
+            if len(set(m[2])) == 1 and len(m[2]) > 1 or m[2] in "*#":
+                fits = [w for w in _MASKABLE if len(w) == len(form) and w.startswith(m[1]) and w.endswith(m[3])]
+                fits += [w + "s" for w in _MASKABLE if m[3].endswith("s") and len(w) + 1 == len(form) and w.startswith(m[1]) and (w + "s").endswith(m[3])]
+                if fits:
+                    return fits[0]
+        letters = re.sub(r"[^a-z]", "", form.translate(_LEET))
+        if word := _known(letters):
+            return word
+    if re.search(r"[a-z]", bare):
+        return re.sub(r"[^a-z-]", "", bare.translate(_LEET)) or "0"
+    return "0" if re.search(r"\d", bare) else ""
+
+
+def _respelt(m: re.Match) -> str:
+    """Single letters with gaps between them, joined; a leading article stays apart."""
+    word = re.sub(r"[^a-z]", "", m[0])
+    return f"{word[0]} {word[1:]}" if word[0] in "ai" and not _known(word) and _known(word[1:]) else word
+
+
+def windows(text: str | None) -> list[str]:
+    """Overlapping runs of cleaned words from every segment of the whole text, each once."""
+    out: dict[str, None] = {}
+    for seg in SEGMENT.split(text or ""):
+        flat = re.sub(r"\b[a-z](?: [a-z]){2,}\b", _respelt, _plain(seg))  # s p e l t
+        words = [w for w in map(reveal, flat.split()) if w]
+        if words and words[0] in ("member", "agent", "agente", "cliente") and len(words) > 1:
+            words = words[1:]
+        if not words:
+            continue
+        starts = [0] if len(words) <= WINDOW else [*range(0, len(words) - WINDOW, STRIDE), len(words) - WINDOW]
+        for a in starts:
+            out[" ".join(words[a : a + WINDOW])] = None
+    return list(out)
+
+
+_ADDRESSED = re.compile(
+    r"\b(?:you|your|youre|such an?|only an?|just an?|kind of|hires any|that|every one of you|all of you|you people|one|listen here|are|still sent me|lot of|tell|pedazo de|eres un|son una bola de|callate|fue el|stupid|lying|stop sending)\b")
+_THREAT = re.compile(
+    r"find out where you live|burn (?:the|your) \w+ down|come with a (?:bat|gun|knife)|know which car is yours|you will (?:regret|pay for)|one night you will|hang yourself|drop dead|burn in hell|go to hell|"
+    r"hope you (?:choke|die|rot)|i will (?:kill|hurt|break|beat|smash) (?:you|your)|break your (?:legs|neck|face)|watch your back|te voy a (?:matar|romper)|ojala te mueras|ojala se mueran|vete al infierno|vayanse al diablo|te vas a arrepentir|se donde vives|wipe them out|kill yourself|smash your (?:face|car)|shoot you")
+_WISH = re.compile(
+    r"nobody (?:there )?would (?:care|miss you)|crawl in a hole|disappear for good|you are nothing|never woke up|no sirves para nada|shut your mouth|eat shit|shove it|fuck off|do us all a favor|callate|sick of your|should be ashamed|"
+    r"my dog could|deaf or just|how \w+ can one|prove it|maldita sea|por tu culpa")
+_HATE = re.compile(
+    r"no place in this|brains are too small|belongs? in a cage|shipped back|where they came from|not human|born liars|keep your filthy|their dirty hands|lot of them|that kind is too dumb|full of you|need more \w+ in this|thrown out of the country|"
+    r"should be banned|coverage for (?:animals|vermin|trash|rats|filth)|live off our|they breed|una plaga|echarlos a todos|son ladrones|off the phone line|pay the \w+ plan of|\w+ ruin everything|they are all|go home|since you let \w+ work|what they are|that they are")
+_SEXUAL = re.compile(
+    r"hands? all over your|show me your|pressed on me|touch myself|touch yourself|come to my (?:room|place)|suck (?:it|me|my)|ride (?:me|you)|strip for me|let me taste|on her knees|moaning|licked her|slide your hand|how (?:hard|wet|horny) you get|"
+    r"makes me (?:hard|wet|horny)|on top of you|you on that desk|pushed his|begged for more|pic(?:ture)? of your|(?:nude|naked|topless|undressed) pic|wearing under that|wear something short|look great (?:nude|naked|topless|undressed)|sin ropa|foto desnuda|en mi cama|quiero verte|lie in bed thinking|dreaming of your|take your \w+ off for me")
+_CALM = re.compile(
+    r"idiotproof|idiot-proof|killed on|exams?\b|counselling|counseling|screening|dysfunction|beaver|dam flooded|color of|colour of|dying to|shoot me a|kill the (?:old )?(?:job|process|batch)|noses|urgent care|estimate|hate to|stupid question|sorry to|"
+    r"deadline is|black list|white paper|dirty read|strip job|couple enrolled|territories|members who are|may ask for|large print|outreach|se quejo|con respeto|mental health|therapy|surgery|cancer|benefit")
+_REPORT = re.compile(
+    r"\b(?:used abusive|abusive language|hate speech|harassment|how to report|called names|conduct|reported|complained|training covers|policy against|no one should be|discrimination|zero tolerance|politely|incident)\b")
+
+
+def _any(words: set[str], *names: str) -> bool:
+    return any(words & _SETS[n] for n in names)
+
+
+#: Name; what firing speaks for (2 abuse, by a whole phrase, 1 abuse, by words alone, 0 clean); of what class.
+CLASSES = ("clean", "insult", "threat", "hate", "sexual")
+VOTERS = (
+    ("insult_en", 1, "insult", lambda t, w: _any(w, "insult")),
+    ("insult_es", 1, "insult", lambda t, w: _any(w, "insult_es")),
+    ("swearing", 1, "insult", lambda t, w: _any(w, "swear")),
+    ("insult_addressed", 2, "insult", lambda t, w: _any(w, "insult", "insult_es", "swear") and bool(_ADDRESSED.search(t))),
+    ("insult_alone", 2, "insult", lambda t, w: len(w) <= 3 and _any(w, "insult", "insult_es")),
+    ("slur_near_insult", 1, "insult", lambda t, w: _any(w, "slur") and _any(w, "insult", "insult_es", "group", "swear")),
+    ("threat", 2, "threat", lambda t, w: bool(_THREAT.search(t))),
+    ("wish_away", 2, "threat", lambda t, w: bool(_WISH.search(t))),
+    ("group_demeaned", 1, "hate", lambda t, w: _any(w, "group") and _any(w, "demean", "slur")),
+    ("hate_phrase", 2, "hate", lambda t, w: bool(_HATE.search(t))),
+    ("body_words", 1, "sexual", lambda t, w: _any(w, "body")),
+    ("sexual_phrase", 2, "sexual", lambda t, w: bool(_SEXUAL.search(t))),
+    ("undress_me", 1, "sexual", lambda t, w: _any(w, "undress", "body") and bool({"me", "my", "mi", "i", "myself", "her"} & w)),
+    ("calm_context", 0, "clean", lambda t, w: bool(_CALM.search(t))),
+    ("report_context", 0, "clean", lambda t, w: bool(_REPORT.search(t))),
+)
+
+
+def votes(window: str) -> int:
+    """Bit k is set where voter k fires."""
+    words, out = set(window.split()), 0
+    for k, (_, _, _, fires) in enumerate(VOTERS):
+        if fires(window, words):
+            out |= 1 << k
+    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import address_match, canonical, linkage, mixing, packing, pii, tokens
+from ledgerloom.llm import abuse, address_match, canonical, linkage, mixing, packing, pii, tokens
 from ledgerloom.runtime import durable, table
 
 
@@ -57,6 +57,18 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.share_report(p9_mixture(spark, d), table(spark, d, "mix_targets"))
 
 
+def p10_scored(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.score_documents(table(spark, d, "documents"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_scored(spark, d).where(F.col("score") >= abuse.ACCEPT).select("doc_id")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(p10_scored(spark, d))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p5_found": p5_found,
@@ -67,5 +79,8 @@ QUERIES = {
     "p8_fill_report": p8_fill_report,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_scored": p10_scored,
+    "p10_rates": p10_rates,
 }
 SQL: dict[str, str] = {}
