@@ -136,7 +136,8 @@ def find(rows: DataFrame, key: str = "rec_id", column: str = "notes") -> DataFra
             rows.append(([{"span_start": a, "span_end": b, "pii_kind": k} for a, b, k in sp], redact(t, sp) if t else t))
         return pd.DataFrame(rows, columns=["spans", "redacted"])
 
-    udf = F.pandas_udf(tag, f"spans {SPANS}, redacted string")
+    # not deterministic to the planner, or it would run the model once more to see whether there are spans
+    udf = F.pandas_udf(tag, f"spans {SPANS}, redacted string").asNondeterministic()
     src = rows.select(key, column).where(F.col(column).isNotNull())
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return src.repartition(parts, key).withColumn("r", udf(column)).select(key, column, "r.*")
