@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 # Words that insult, swear, name groups, demean, or are sexual, in English and Spanish, without accents.
 INSULTS = "idiot idiots moron morons imbecile imbeciles cretin cretins retard retards retarded bastard bastards bitch bitches bitchs asshole assholes arsehole dumbass dumbasss dumbasses jackass scumbag scumbags scum parasite parasites pig pigs loser losers dimwit halfwit prick wanker twat whore slut cunt motherfucker dickhead shithead"
@@ -48,6 +49,7 @@ def _known(word: str) -> str:
     return ""
 
 
+@lru_cache(maxsize=200_000)
 def reveal(token: str) -> str:
     """A token with look-alike signs read as letters, spelling dots removed, and masked words restored."""
     core = token.strip(".,;:?\"'()[]{}<>…¿¡")
