@@ -31,7 +31,7 @@ def _parsed(line: pd.Series, city: pd.Series, state: pd.Series, zipcode: pd.Seri
     for row in zip(line, city, state, zipcode):
         a = parse(*row)
         if not a.number:  # nothing to tell places apart by: only the same wording is the same place
-            a = a._replace(number="text " + " ".join((row[0] or "").lower().split()), street="")
+            a = parse(None, *row[1:])._replace(number="text " + " ".join((row[0] or "").lower().split()))
         rows.append(a)
     return pd.DataFrame(rows, columns=list(_PARTS))
 
@@ -138,7 +138,7 @@ def same_place(rows: DataFrame, key: str = "rec_id", least: float = COSINE) -> D
     """(a, b, cosine): all pairs of rows, a < b, whose addresses denote the same place.
 
     Rows without address_line1 take no part. A missing unit is no unit; a missing direction or street type
-    agrees with any. Repeated rows pair like others. An address with neither town, ZIP code nor state
+    agrees with any, so one that lacks them can pair with two that differ. Repeated rows pair like others. An address with neither town, ZIP code nor state
     pairs with nothing, not even its own wording. Empty tables give an empty result.
     """
     members, places = read_addresses(rows, key)
