@@ -60,9 +60,8 @@ def trim_totals(rows: list[list[str]]) -> tuple[list[list[str]], int | None]:
             end -= 1
         else:
             break
-    if cut == len(rows):  # no total: only blank rows at the end go
-        while cut and not any(c and c.strip() for c in rows[cut - 1]):
-            cut -= 1
+    while cut and not any(c and c.strip() for c in rows[cut - 1]):  # blank rows at the end go in any case
+        cut -= 1
     return rows[:cut], printed
 
 
