@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -159,6 +159,30 @@ def candidates(trie: Trie | None, typed: str) -> list[tuple[int, str, str, int]]
     return [x for _, x in sorted(seen.values())]
 
 
+_FINDERS: dict[tuple, Callable[[str, str], tuple]] = {}
+
+
+def _finder(entries: tuple) -> Callable[[str, str], tuple]:
+    """The memoized search of one reference list; a Python worker keeps it from task to task."""
+    if entries in _FINDERS:
+        return _FINDERS[entries]
+    trie, memo = build(list(entries)), {}
+    longest = max((len(key_of(s)) for _, f, c, label in entries for s in spellings(c, label or "", f)), default=0) + 3
+
+    def find(field: str, typed: str) -> tuple:
+        hit = memo.get((field, typed))
+        if hit is None:
+            found = candidates(trie.get(field), typed) if len(typed) < 400 and len(key_of(typed)) <= longest else []
+            hit = (found[0][2], found[0][0], len(found)) if found else (NONE, None, 0)
+            if len(memo) < _MEMO:
+                memo[field, typed] = hit
+        return hit
+
+    _FINDERS.clear()
+    _FINDERS[entries] = find
+    return find
+
+
 def map_values(df: DataFrame, canon: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key, field_name, typed, canon_code, distance, n_candidates) for each cell of the fields that is
     not null and not itself a code of its field. canon_code is '(none)' where no entry is within reach.
@@ -180,20 +204,10 @@ def map_values(df: DataFrame, canon: DataFrame, key: str, fields: list[str]) ->
         ).alias("__c"),
     ).select(key, "__c.field_name", "__c.typed").where("typed is not null")
 
-    @F.pandas_udf("canon_code string, distance int, n_candidates int")
     def lookup(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        trie, memo = build(entries), {}
-        longest = max((len(key_of(s)) for _, f, c, l in entries for s in spellings(c, l or "", f)), default=0) + 3
+        find = _finder(tuple(entries))
         for field, typed in parts:
-            out = []
-            for f, v in zip(field, typed):
-                hit = memo.get((f, v))
-                if hit is None:
-                    found = candidates(trie.get(f), v) if len(v) < 400 and len(key_of(v)) <= longest else []
-                    hit = (found[0][2], found[0][0], len(found)) if found else (NONE, None, 0)
-                    if len(memo) < _MEMO:
-                        memo[f, v] = hit
-                out.append(hit)
-            yield pd.DataFrame(out, columns=["canon_code", "distance", "n_candidates"]).astype({"distance": "Int32", "n_candidates": "int32"})
-
-    return cells.withColumn("__m", lookup("field_name", "typed")).select(key, "field_name", "typed", "__m.*")
+            yield pd.DataFrame([find(f, v) for f, v in zip(field, typed)], columns=["canon_code", "distance", "n_candidates"]).astype({"distance": "Int32", "n_candidates": "int32"})
+
+    udf = F.pandas_udf(lookup, "canon_code string, distance int, n_candidates int")
+    return cells.withColumn("__m", udf("field_name", "typed")).select(key, "field_name", "typed", "__m.*")
