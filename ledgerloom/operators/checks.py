@@ -96,3 +96,24 @@ def misfiled(edges: DataFrame, lines: DataFrame, book: DataFrame, clients: DataF
         votes.groupBy("policy_rec", "filed").agg(F.min("named").alias("lo"), F.max("named").alias("hi"), F.count(F.lit(1)).cast("bigint").alias("lines"))
         .where("lo = hi and lo <> filed").select("policy_rec", F.col("filed").alias("filed_client"), F.col("lo").alias("named_client"), "lines")
     )
+
+
+def packet_issues(clients: DataFrame, policies: DataFrame) -> DataFrame:
+    """What keeps a set of tables from being handed over: (issue, key, rows) for repeated identities and policies whose
+    client is not among the clients."""
+    def repeated(df: DataFrame, key: str, issue: str) -> DataFrame:
+        return df.where(F.col(key).isNotNull()).groupBy(text.strip(F.col(key)).alias("key")).agg(F.count(F.lit(1)).cast("bigint").alias("rows")).where("rows > 1").select(F.lit(issue).alias("issue"), "key", "rows")
+
+    have = clients.where("client_id is not null").select(text.strip(F.col("client_id")).alias("key")).distinct()
+    lost = policies.where("client_id is not null").select(text.strip(F.col("client_id")).alias("key")).join(have, "key", "left_anti").groupBy("key").agg(F.count(F.lit(1)).cast("bigint").alias("rows")).select(F.lit("MISSING_CLIENT").alias("issue"), "key", "rows")
+    return repeated(clients, "client_id", "DUPLICATE_CLIENT").unionByName(repeated(policies, "policy_id", "DUPLICATE_POLICY")).unionByName(lost)
+
+
+def cross_counts(policies: DataFrame, clients: DataFrame, agents: DataFrame, by: str) -> DataFrame:
+    """Per group how many policies find their client, their agent, both, and how many state another state than their client."""
+    c = clients.where("client_id is not null").groupBy(text.strip(F.col("client_id")).alias("ck")).agg(F.min_by("state", "rec_id").alias("client_state"))
+    a = agents.where("npn is not null").select(text.strip(F.col("npn")).alias("ak")).distinct().withColumn("has_agent", F.lit(True))
+    j = policies.withColumn("ck", text.strip(F.col("client_id"))).withColumn("ak", text.strip(F.col("writing_agent_npn"))).join(c.withColumn("has_client", F.lit(True)), "ck", "left").join(a, "ak", "left")
+    n = lambda cond: F.count_if(cond).cast("bigint")
+    return j.groupBy(by).agg(F.count(F.lit(1)).cast("bigint").alias("policies"), n(F.col("has_client")).alias("with_client"), n(F.col("has_agent")).alias("with_agent"), n(F.col("has_client") & F.col("has_agent")).alias("with_both"),
+                             n(F.col("state") != F.col("client_state")).alias("other_state"))

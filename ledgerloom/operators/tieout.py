@@ -184,3 +184,26 @@ def totals(linked: DataFrame, force: DataFrame, expected: DataFrame, total_pct:
     diff = z("statement_paid") - z("book_expected")
     return j.select("group_by", "key", z("book_expected").alias("book_expected"), z("statement_paid").alias("statement_paid"), diff.cast(money).alias("difference"), z("unexplained_revenue").alias("unexplained_revenue"),
                     (F.abs(diff) <= F.abs(z("book_expected")) * F.lit(total_pct).cast("decimal(6,4)")).alias("within_tolerance"))
+
+
+METHODS = ((MEMBER, "MEMBER_ID"), (POLICY, "POLICY_REF"), (PERSON, "NAME_DOB"))
+
+
+def link_evidence(lines: DataFrame, edges: DataFrame) -> DataFrame:
+    """Every line with its candidates and the keys that made each, in order of policy: policy:KEY+KEY|policy:KEY."""
+    keys = F.array_join(F.filter(F.array(*[F.when(F.col("mask").bitwiseAND(bit) != 0, F.lit(name)) for bit, name in METHODS]), lambda k: k.isNotNull()), "+")
+    per_line = edges.select("line_id", F.concat("policy_id", F.lit(":"), keys).alias("e")).groupBy("line_id").agg(F.array_join(F.array_sort(F.collect_list("e")), "|").alias("evidence"))
+    return lines.select("line_id").join(per_line, "line_id", "left")
+
+
+def unresolved_reasons(linked: DataFrame, raw: DataFrame) -> DataFrame:
+    """Why unconfirmed lines lack evidence: (line_id, reason) of name_blank, dob_blank, dob_malformed, keys_blank."""
+    j = linked.where("link_state <> 'confirmed'").select("line_id", "born").join(raw.select("line_id", "member_name", "member_dob", "carrier_member_id", "policy_ref"), "line_id")
+    reasons = F.array(
+        F.when(~_given("member_name"), "name_blank"), F.when(~_given("member_dob"), "dob_blank"), F.when(_given("member_dob") & F.col("born").isNull(), "dob_malformed"),
+        F.when(~_given("carrier_member_id") & ~_given("policy_ref"), "keys_blank"))
+    return j.select("line_id", F.explode(F.filter(reasons, lambda r: r.isNotNull())).alias("reason"))
+
+
+def variance_dollars(found: DataFrame) -> DataFrame:
+    return found.groupBy("rule_id", "reason_code").agg(F.count(F.lit(1)).cast("bigint").alias("variances"), F.sum(F.abs(F.coalesce("paid", F.lit(0)) - F.coalesce("expected", F.lit(0)))).cast("decimal(18,2)").alias("dollars"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, identifiers, money, redaction, text
-from ledgerloom.operators import checks, clean, compare_runs, findings, gates, mapping, multivalue, revenue, tieout, versions
+from ledgerloom.operators import checks, clean, compare_runs, findings, gates, mapping, multivalue, numbering, replay, revenue, tieout, versions
 from ledgerloom.runtime import durable, table
 
 #: The day on which ages and ends are judged, tolerances and terms of the queries below.
@@ -372,6 +372,54 @@ def chk_misfiled(spark: SparkSession, d: str) -> DataFrame:
     return checks.misfiled(t.edges, t.lines, t.book, t.clients)
 
 
+@query(f"""WITH {_TIE} SELECT l.line_id, e.evidence FROM lines l LEFT JOIN (SELECT line_id, array_to_string(list_sort(list(policy_id || ':' || array_to_string(list_filter([CASE WHEN mask & 1 <> 0 THEN 'MEMBER_ID' END, CASE WHEN mask & 2 <> 0 THEN 'POLICY_REF' END, CASE WHEN mask & 4 <> 0 THEN 'NAME_DOB' END], lambda x: x IS NOT NULL), '+'))), '|') AS evidence FROM edges GROUP BY 1) e USING (line_id)""")
+def tie_link_evidence(spark: SparkSession, d: str) -> DataFrame:
+    t = Tie(spark, d)
+    return tieout.link_evidence(t.lines, t.edges)
+
+
+def _no(c: str) -> str:
+    return f"coalesce(trim({c}), '') = ''"
+
+
+@query(f"""WITH {_TIE}, u AS (SELECT l.line_id, l.born, s.member_name, s.member_dob, s.carrier_member_id, s.policy_ref FROM linked l JOIN statement_lines s USING (line_id) WHERE l.link_state <> 'confirmed')
+  SELECT line_id, 'name_blank' AS reason FROM u WHERE {_no('member_name')} UNION ALL SELECT line_id, 'dob_blank' FROM u WHERE {_no('member_dob')}
+  UNION ALL SELECT line_id, 'dob_malformed' FROM u WHERE NOT {_no('member_dob')} AND born IS NULL UNION ALL SELECT line_id, 'keys_blank' FROM u WHERE {_no('carrier_member_id')} AND {_no('policy_ref')}""")
+def tie_unresolved_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return tieout.unresolved_reasons(Tie(spark, d).linked(), table(spark, d, "statement_lines"))
+
+
+@query(f"SELECT rule_id, reason_code, count(*) AS variances, CAST(sum(abs(coalesce(paid, 0) - coalesce(expected, 0))) AS DECIMAL(18,2)) AS dollars FROM ({SQL['tie_variances']}) GROUP BY 1, 2")
+def tie_variance_dollars(spark: SparkSession, d: str) -> DataFrame:
+    return tieout.variance_dollars(tie_variances(spark, d))
+
+
+@query(f"SELECT rule_id, row_id, field, row_number() OVER (ORDER BY rule_id, row_id, field) AS number FROM ({_POLICY_RULES})")
+def run_numbered_findings(spark: SparkSession, d: str) -> DataFrame:
+    return numbering.number_rows(_policy_findings(spark, d).select("rule_id", "row_id", "field"), ["rule_id", "row_id", "field"])
+
+
+@query(f"SELECT severity, rule_id, row_id, field FROM ({_POLICY_RULES}) ORDER BY CASE severity WHEN 'blocker' THEN 1 WHEN 'error' THEN 2 WHEN 'warning' THEN 3 ELSE 4 END, rule_id, row_id, field LIMIT 50")
+def run_report_top(spark: SparkSession, d: str) -> DataFrame:
+    """The first fifty findings of a report; the limit is the report's feature."""
+    rank = F.array_position(F.lit(list(findings.SEVERITIES)), F.col("severity"))
+    return _policy_findings(spark, d).select("severity", "rule_id", "row_id", "field").orderBy(rank, "rule_id", "row_id", "field").limit(50)
+
+
+@query(rf"""SELECT 'DUPLICATE_CLIENT' AS issue, {_T.format(c='client_id')} AS key, count(*) AS rows FROM clients WHERE client_id IS NOT NULL GROUP BY 2 HAVING count(*) > 1
+  UNION ALL SELECT 'DUPLICATE_POLICY', {_T.format(c='policy_id')}, count(*) FROM policies WHERE policy_id IS NOT NULL GROUP BY 2 HAVING count(*) > 1
+  UNION ALL SELECT 'MISSING_CLIENT', {_T.format(c='client_id')}, count(*) FROM policies WHERE client_id IS NOT NULL AND {_T.format(c='client_id')} NOT IN (SELECT {_T.format(c='client_id')} FROM clients WHERE client_id IS NOT NULL) GROUP BY 2""")
+def pkt_issues(spark: SparkSession, d: str) -> DataFrame:
+    return checks.packet_issues(table(spark, d, "clients"), table(spark, d, "policies"))
+
+
+@query(rf"""WITH c AS (SELECT {_T.format(c='client_id')} AS ck, arg_min(state, rec_id) FILTER (state IS NOT NULL) AS cs, true AS hc FROM clients WHERE client_id IS NOT NULL GROUP BY 1), c2 AS (SELECT ck, hc, (SELECT state FROM clients x WHERE {_T.format(c='x.client_id')} = c.ck ORDER BY rec_id LIMIT 1) AS cs FROM c), a AS (SELECT DISTINCT {_T.format(c='npn')} AS ak, true AS ha FROM agents WHERE npn IS NOT NULL)
+  SELECT carrier, count(*) AS policies, count(hc) AS with_client, count(ha) AS with_agent, count(*) FILTER (hc AND ha) AS with_both, count(*) FILTER (state <> cs) AS other_state
+  FROM policies p LEFT JOIN c2 ON ck = {_T.format(c='p.client_id')} LEFT JOIN a ON ak = {_T.format(c='p.writing_agent_npn')} GROUP BY 1""")
+def chk_cross_counts(spark: SparkSession, d: str) -> DataFrame:
+    return checks.cross_counts(table(spark, d, "policies"), table(spark, d, "clients"), table(spark, d, "agents"), "carrier")
+
+
 # clean tables -------------------------------------------------------------------------------------------------
 @query(rf"""WITH f AS ({_POLICY_RULES}), k AS (SELECT rec_id, policy_id, client_id FROM policies p WHERE rec_id NOT IN (SELECT row_id FROM f WHERE severity IN ('blocker', 'error')) AND policy_id IS NOT NULL
    QUALIFY row_number() OVER (PARTITION BY {_T.format(c='policy_id')} ORDER BY rec_id) = 1)
@@ -409,6 +457,13 @@ def pii_redact_patterns(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "clients").where("notes is not null").select("rec_id", redaction.redact(F.col("notes")).alias("r")).select("rec_id", "r.*")
 
 
+@query(r"""SELECT rec_id, h AS withheld, CASE WHEN h THEN '[redacted]' ELSE notes END AS notes FROM (SELECT *, coalesce(regexp_matches(notes, '(?i)\b(diagnos|condition|disab|surger|cancer|diabet|hospital|medicat|prescri|generic)'), false) AS h FROM clients)""")
+def pii_gate_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Notes gated with no recorded answers at all: everything that hints at health is withheld."""
+    none = spark.createDataFrame([], "question string, answer double")
+    return replay.gate_notes(table(spark, d, "clients").select("rec_id", "notes"), "notes", none).select("rec_id", "withheld", "notes")
+
+
 # runs, revenue, versions ------------------------------------------------------------------------------------------
 @query("""WITH a AS (SELECT carrier, status, count(*) FILTER (loaded_at < TIMESTAMP '2025-06-01') AS x, count(*) FILTER (loaded_at >= TIMESTAMP '2025-06-01') AS y FROM policies GROUP BY 1, 2)
   SELECT carrier, status, greatest(x - y, 0) AS resolved, greatest(y - x, 0) AS fresh, least(x, y) AS unchanged FROM a""")
@@ -429,6 +484,12 @@ def fin_received_totals(spark: SparkSession, d: str) -> DataFrame:
     return revenue.received_totals(table(spark, d, "statement_lines"), ["carrier", "statement_period"])
 
 
+@query("SELECT carrier, statement_period, CASE WHEN count(amount) = 0 THEN 'UNAVAILABLE' WHEN count(amount) < count(*) THEN 'PARTIAL' ELSE 'AVAILABLE' END AS state FROM statement_lines GROUP BY 1, 2")
+def fin_statement_state(spark: SparkSession, d: str) -> DataFrame:
+    t = revenue.received_totals(table(spark, d, "statement_lines"), ["carrier", "statement_period"])
+    return t.select("carrier", "statement_period", F.when(F.col("valid_lines") == 0, "UNAVAILABLE").when(F.col("excluded_lines") > 0, "PARTIAL").otherwise("AVAILABLE").alias("state"))
+
+
 def _files(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "mapping_review").groupBy("file_id").agg(
         F.min("source").alias("source"), F.min("file_name").alias("file_name"), F.min("received_at").alias("received_at"), F.min("format_fingerprint").alias("sha"))
