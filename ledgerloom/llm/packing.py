@@ -24,6 +24,8 @@ PARTITION_TOKENS = 2_000_000
 #: Containers filled less than this are packed again with those of other partitions.
 UNDERFULL = 0.97
 MERGE = 64
+#: Partitions per step of the running sums of deficits.
+BLOCK = 1024
 
 PACKED = "pack_id bigint, capacity_tokens bigint, container_id string, doc_id bigint, piece_no bigint, source string, n_tokens bigint, filled bigint"
 
@@ -115,13 +117,18 @@ def pack_documents(docs: DataFrame, sizes: DataFrame, targets: DataFrame | None
         share = whole.withColumn("share", F.col("all_t") / F.sum("all_t").over(Window.partitionBy("pack_id"))).select("pack_id", "source", "share")
     else:
         share = whole.join(F.broadcast(targets.select("source", F.col("target_share").alias("share"))), "source", "left").select("pack_id", "source", F.coalesce("share", F.lit(0.0)).alias("share"))
-    before = Window.partitionBy("pack_id", "source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     in_part = by_source.groupBy("pack_id", "part").agg(F.sum("t").alias("part_t"))
-    owed = (
+    gaps = (
         in_part.join(share, "pack_id").join(by_source.select("pack_id", "part", "source", "t"), ["pack_id", "part", "source"], "left")
-        .withColumn("gap", F.col("share") * F.col("part_t") - F.coalesce("t", F.lit(0)))
-        .withColumn("owed", F.coalesce(F.sum("gap").over(before), F.lit(0.0)))
-        .select("pack_id", "part", "source", "share", "owed")
+        .withColumn("gap", F.col("share") * F.col("part_t") - F.coalesce("t", F.lit(0))).withColumn("block", F.floor(F.col("part") / BLOCK))
+    )
+    # running sums in two steps, so that no window holds more than BLOCK partitions, or a BLOCKth of all
+    before = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = gaps.groupBy("pack_id", "source", "block").agg(F.sum("gap").alias("gap")).select(
+        "pack_id", "source", "block", F.coalesce(F.sum("gap").over(before(["pack_id", "source"], "block")), F.lit(0.0)).alias("base"))
+    owed = (
+        gaps.withColumn("inner", F.coalesce(F.sum("gap").over(before(["pack_id", "source", "block"], "part")), F.lit(0.0)))
+        .join(blocks, ["pack_id", "source", "block"]).select("pack_id", "part", "source", "share", (F.col("inner") + F.col("base")).alias("owed"))
     )
 
     def run(key: tuple[Any, ...], part: pd.DataFrame, debts: pd.DataFrame) -> pd.DataFrame:

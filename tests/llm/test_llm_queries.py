@@ -49,6 +49,20 @@ def test_linkage(spark):
     assert len([r for r in got if r["line_id"] == 0]) == 2 and all(0.4 <= r["confidence"] <= 1 for r in got)
 
 
+def test_linkage_filler_dates(spark):
+    """A third of both sides bears one birth date: matches are still found by name, and pairs stay few."""
+    s, c, p = people(spark, 300)
+    filler = F.lit("1900-01-01").cast("date")
+    c2 = c.withColumn("dob", F.when(F.substring("client_id", -1, 1).isin("1", "4", "7"), filler).otherwise(F.col("dob")))
+    s2 = s.withColumn("member_dob", F.when(F.col("line_id").cast("string").rlike("[147]$") & (F.col("line_id") < 1000), "1900-01-01").otherwise(F.col("member_dob")))
+    tagged = linkage.line_people(s2)
+    sigs, folk, ctx = linkage._signatures(tagged), linkage.client_people(c2), linkage.contexts(p)
+    assert linkage.hot_dates(sigs, folk) == ["1900|1|1"]
+    assert linkage.candidate_pairs(sigs, folk, ctx).count() < 1500
+    right = [r for r in linkage.link(s2, c2, p).collect() if r["client_id"] == f"C{r['line_id']}"]
+    assert len(right) >= 185
+
+
 def test_linkage_empty(spark):
     s, c, p = people(spark, 30)
     assert linkage.link(s.limit(0), c, p).count() == 0 and linkage.link(s, c.limit(0), p).count() == 0
