@@ -116,11 +116,13 @@ def place_pairs(places: DataFrame, least: float = COSINE) -> DataFrame:
         return pd.Series([sum(weight.get(g, 0.0) ** 2 for g in set(x) & set(y)) for x, y in zip(a, b)], dtype=float)
 
     vectors = durable(places.where("number <> ''").withColumn("v", vector("street")).select("*", "v.*").drop("v"))
-    index = vectors.select("place", F.explode("pre").alias("g"), "number", "unit")
-    other = index.select(F.col("place").alias("place_b"), "g", "number", "unit")
-    pairs = (
-        index.withColumnRenamed("place", "place_a").join(other, ["number", "unit", "g"]).where("place_a < place_b").select("place_a", "place_b").distinct()
-    )
+    index = vectors.select("place", F.explode("pre").alias("g"), "number", "unit", "state")
+    known, free = index.where("state <> ''"), index.where("state = ''").select(F.col("place").alias("x"), "g", "number", "unit")
+    other = known.select(F.col("place").alias("place_b"), "g", "number", "unit", "state")
+    # states that are given must agree, so they are part of the key; the few addresses without one meet all
+    alike = known.withColumnRenamed("place", "place_a").join(other, ["number", "unit", "g", "state"]).where("place_a < place_b").select("place_a", "place_b")
+    open_ = free.join(index.select(F.col("place").alias("y"), "g", "number", "unit"), ["number", "unit", "g"]).where("x <> y").select(F.least("x", "y").alias("place_a"), F.greatest("x", "y").alias("place_b"))
+    pairs = alike.unionByName(open_).distinct()
     cols = [*(f for f in _PARTS if f not in ("number", "unit")), "gs", "norm"]
     for side in "ab":
         pairs = pairs.join(vectors.select(F.col("place").alias(f"place_{side}"), *[F.col(c).alias(f"{side}_{c}") for c in cols]), f"place_{side}")
