@@ -89,3 +89,23 @@ def fix_first(findings: DataFrame) -> DataFrame:
 def run_status(findings: DataFrame) -> DataFrame:
     worst = F.min(F.array_position(F.lit(list(SEVERITIES)), F.col("severity")))
     return findings.agg(F.when(worst <= 2, "FAILED").when(worst == 3, "PASSED_WITH_WARNINGS").otherwise("PASSED").alias("status"))
+
+
+def attach_rows(findings: DataFrame, frames: dict[str, tuple[DataFrame, str]], columns: list[str]) -> DataFrame:
+    """findings with fields of the row they point at, looked up in the frame of their source (frame, key)."""
+    out = None
+    for source, (df, key) in frames.items():
+        have = [c for c in columns if c in df.columns]
+        side = df.select(F.col(key).alias("row_id"), *[F.col(c).cast("string").alias(c) for c in have], *[F.lit(None).cast("string").alias(c) for c in columns if c not in have])
+        one = findings.where(F.col("source") == source).join(side, "row_id", "left")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def learn_zip_states(rows: DataFrame, least: float = 0.9) -> DataFrame:
+    """(zip3, state) pairs that hold for at least this share of the rows with a readable ZIP code and a two-letter state;
+    at most a thousand prefixes."""
+    known = rows.select(identifiers.zip3(F.col("zip")).alias("zip3"), F.col("state")).where(F.col("zip3").isNotNull() & F.col("state").rlike("^[A-Z]{2}$"))
+    counts = known.groupBy("zip3", "state").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.groupBy("zip3").agg(F.sum("n").alias("all_n"))
+    return counts.join(F.broadcast(total), "zip3").where(F.col("n") >= F.col("all_n") * least).select("zip3", "state")

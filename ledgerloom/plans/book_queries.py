@@ -221,6 +221,24 @@ def rule_policy_findings(spark: SparkSession, d: str) -> DataFrame:
     return _policy_findings(spark, d).select("row_id", "rule_id", "severity", "field")
 
 
+_ZS = rf"""z AS (SELECT rec_id, CASE WHEN regexp_full_match({_T.format(c='zip')}, '\d{{5}}(-?\d{{4}})?') THEN substr({_T.format(c='zip')}, 1, 3) END AS zip3, state FROM clients),
+  zn AS (SELECT zip3, state, count(*) AS n, sum(count(*)) OVER (PARTITION BY zip3) AS t FROM z WHERE zip3 IS NOT NULL AND regexp_matches(state, '^[A-Z]{{2}}$') GROUP BY 1, 2), zs AS (SELECT zip3, state FROM zn WHERE n >= t * 0.9)"""
+
+
+@query(f"WITH {_ZS} SELECT z.rec_id, z.zip3, z.state FROM z WHERE zip3 IN (SELECT zip3 FROM zs) AND state IS NOT NULL AND (zip3, state) NOT IN (SELECT zip3, state FROM zs)")
+def rule_zip_state(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "clients")
+    return findings.zip_state_mismatch(c, findings.learn_zip_states(c)).select("rec_id", "zip3", "state")
+
+
+@query(f"""SELECT f.row_id, f.rule_id, f.field, c.state, NULL AS carrier FROM ({_CLIENT_RULES}) f JOIN clients c ON c.rec_id = f.row_id
+  UNION ALL SELECT f.row_id, f.rule_id, f.field, p.state, p.carrier FROM ({_POLICY_RULES}) f JOIN policies p ON p.rec_id = f.row_id""")
+def run_findings_with_rows(spark: SparkSession, d: str) -> DataFrame:
+    both = _client_findings(spark, d).unionByName(_policy_findings(spark, d))
+    frames = {"clients": (table(spark, d, "clients"), "rec_id"), "policies": (table(spark, d, "policies"), "rec_id")}
+    return findings.attach_rows(both, frames, ["state", "carrier"]).select("row_id", "rule_id", "field", "state", "carrier")
+
+
 @query(f"SELECT severity, rule_id, count(*) AS findings, count(DISTINCT (source, row_id)) AS rows_hit FROM (SELECT 'clients' AS source, * FROM ({_CLIENT_RULES}) UNION ALL SELECT 'policies', * FROM ({_POLICY_RULES})) GROUP BY 1, 2")
 def run_severity_rollup(spark: SparkSession, d: str) -> DataFrame:
     return findings.severity_rollup(_client_findings(spark, d).unionByName(_policy_findings(spark, d)))

@@ -91,3 +91,25 @@ def test_archive_pin_journal(tmp_path):
     (tmp_path / "j").write_text(text)
     with pytest.raises(ValueError):
         j.read()
+
+
+def test_strict_import():
+    import hashlib
+    from decimal import Decimal
+
+    from ledgerloom.sources.strict import Layout, read_strict
+
+    def layout(raw, **more):
+        return Layout(hashlib.sha256(raw).hexdigest(), ("Label", "Paid"), "Paid", **more)
+
+    good = b"Label,Paid\nx,1.5\ny,-2\n"
+    assert read_strict(good, layout(good)) == [{"Label": "x", "Paid": Decimal("1.50")}, {"Label": "y", "Paid": Decimal("-2.00")}]
+    book = spreadsheet.write_sheets({"S": [["note"], ["Label", "Paid"], ["x", "3"]]})
+    with pytest.raises(ValueError):
+        read_strict(book, layout(book, sheet="S", header_row=1))
+    assert read_strict(spreadsheet.write_sheets({"S": [["Label", "Paid"], ["x", "3"]]}), layout(spreadsheet.write_sheets({"S": [["Label", "Paid"], ["x", "3"]]}), sheet="S"))[0]["Paid"] == 3
+    for bad in (b"Label,Paid\nx,1.555\n", b"Label,Paid\nx\n", b"Paid,Label\n1,x\n", b"Label,Paid\n=x,1\n", b"Label,Paid\n\xe9,1\n"):
+        with pytest.raises(ValueError):
+            read_strict(bad, layout(bad))
+    with pytest.raises(ValueError):
+        read_strict(good + b" ", layout(good))
