@@ -39,7 +39,7 @@ def clean_world(seed: int = 1, clients: int = 60) -> World:
         for m in MONTHS:
             months = (int(m[:4]) - p["effective"].year) * 12 + int(m[5:]) - p["effective"].month
             kind = "NEW" if months < 12 else "RENEWAL"
-            w.lines.append({"carrier": carrier, "period": m, "member_id": p["member_id"], "name": f"{c['last_name']}, {c['first_name']}", "dob": c["dob"], "policy_ref": p["policy_id"], "npn": p["npn"], "amount": RATE[kind], "kind": kind})
+            w.lines.append({"carrier": carrier, "period": m, "member_id": p["member_id"], "name": f"{c['first_name']} {c['last_name']}", "dob": c["dob"], "policy_ref": p["policy_id"], "npn": p["npn"], "amount": RATE[kind], "kind": kind})
     return w
 
 
@@ -62,7 +62,7 @@ def plant(w: World) -> World:
     w.planted.append(("REPEATED_LINE", "P0008/2024-03"))
     other = w.clients[10]
     for x in at(9):
-        x["name"], x["dob"] = f"{other['last_name']}, {other['first_name']}", other["dob"]
+        x["name"], x["dob"] = f"{other['first_name']} {other['last_name']}", other["dob"]
     w.planted.append(("MISFILED", "P0009"))
     return w
 

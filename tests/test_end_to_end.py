@@ -39,7 +39,7 @@ def test_planted_world(spark, tmp_path):
     have = {(k, f"{p}/{m}") for k, p, m in found} | {(k, p) for k, p, _ in found} | {("MISFILED", p) for p in misfiled} | issues
     wanted = [x for x in w.planted if x[0] not in ("REPEATED_LINE", "ORPHAN_PAYMENT")]
     assert set(wanted) <= have and copies == 1
-    assert {k for k, _, _ in found} == {"NO_PAYMENT", "AMOUNT_OFF_SCHEDULE", "STATUS_CONFLICT", "ORPHAN_PAYMENT", "UNRESOLVED_LINK"}
+    assert {k for k, _, _ in found} == {"NO_PAYMENT", "AMOUNT_OFF_SCHEDULE", "STATUS_CONFLICT", "ORPHAN_PAYMENT"}
     assert len([1 for k, _, _ in found if k == "ORPHAN_PAYMENT"]) == 1
 
 
