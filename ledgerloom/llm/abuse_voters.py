@@ -36,6 +36,8 @@ WINDOW, STRIDE = 12, 6
 
 
 def _plain(text: str) -> str:
+    if text.isascii():
+        return text.lower()
     flat = unicodedata.normalize("NFKD", _INVISIBLE.sub("", text))
     return "".join(c for c in flat if not unicodedata.combining(c)).lower().translate(_TWINS)
 
