@@ -82,3 +82,9 @@ def sql_date_loose(c: str) -> str:
       WHEN regexp_matches({t}, '{us}') THEN {day(year(g(us, 3)), g(us, 1), g(us, 2))}
       WHEN regexp_matches({t}, '{mon}') THEN {day(year(g(mon, 3)), f"CAST(list_position({names}, upper({g(mon, 2)})) AS VARCHAR)", g(mon, 1))}
     END)"""
+
+
+def strict_timestamp(c: Column) -> Column:
+    """The moment of an ISO text with seconds and a zone; anything else, a text without a zone too, is null."""
+    ok = c.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})$")
+    return F.when(ok, F.try_to_timestamp(c))

@@ -33,3 +33,8 @@ def parse_money(c: Column) -> Column:
 def is_exact_cents(c: Column) -> Column:
     """Plain decimal text with at most ten digits before and two after the point."""
     return c.rlike(r"^-?\d{1,10}(\.\d{1,2})?$")
+
+
+def shown(c: Column) -> Column:
+    """Money for people: $1,234.50, with a minus sign in front."""
+    return F.when(c < 0, F.concat(F.lit("-$"), F.format_number(-c, 2))).otherwise(F.concat(F.lit("$"), F.format_number(c, 2)))

@@ -179,6 +179,25 @@ def chk_license_gap(spark: SparkSession, d: str) -> DataFrame:
     return checks.licence_gaps(table(spark, d, "policies"), _licences(spark, d), "rec_id", "writing_agent_npn", "state")
 
 
+_CELLS = "SELECT writing_agent_npn AS agent, carrier || ' ' || CAST(year(effective_date) AS VARCHAR) AS cell FROM policies WHERE writing_agent_npn IS NOT NULL AND effective_date IS NOT NULL"
+
+
+@query(f"SELECT agent, cell, n, sum(n) OVER (PARTITION BY agent) AS agent_total FROM (SELECT agent, cell, count(*) AS n FROM ({_CELLS}) GROUP BY 1, 2)")
+def dash_agent_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The agent matrix in long form: sales by agent, carrier and year. The total per agent is a window over aggregated cells."""
+    p = table(spark, d, "policies").where("writing_agent_npn is not null and effective_date is not null")
+    cells = p.groupBy(F.col("writing_agent_npn").alias("agent"), F.concat_ws(" ", "carrier", F.year("effective_date").cast("string")).alias("cell")).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    return cells.withColumn("agent_total", F.sum("n").over(Window.partitionBy("agent")).cast("bigint"))
+
+
+@query("PIVOT (SELECT writing_agent_npn AS agent, carrier FROM policies WHERE writing_agent_npn IS NOT NULL) ON carrier USING count(*) GROUP BY agent")
+def dash_agent_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Sales by agent, a column per carrier; the carriers make the schema, so they are read first."""
+    p = table(spark, d, "policies").where("writing_agent_npn is not null")
+    carriers = sorted(r[0] for r in p.select("carrier").distinct().collect() if r[0] is not None)
+    return p.groupBy(F.col("writing_agent_npn").alias("agent")).agg(*[F.count_if(F.col("carrier") == c).cast("bigint").alias(c) for c in carriers])
+
+
 # row rules ------------------------------------------------------------------------------------------------
 def _client_findings(spark: SparkSession, d: str) -> DataFrame:
     return findings.run_checks(table(spark, d, "clients"), "rec_id", findings.client_checks(F.lit(AS_OF).cast("date")), "clients")

@@ -126,3 +126,9 @@ def test_tree_edit_nested_and_assignment():
     assert edit_script(a, b, lambda p, q: 0.0 if p.label == q.label else 2.0)[0] == 1
     assert edit_script(a, Node("r", [Node("y")]), lambda p, q: 0.0 if p.label == q.label else 2.0)[0] == 2  # x and z go, y moves up
     assert assignment([[4, 1, 3], [2, 0, 5], [3, 2, 2]]) == [1, 0, 2]
+
+
+def test_timestamps_and_presentation(spark):
+    got = values(spark, lambda c: dates.strict_timestamp(c).isNotNull(), ["2024-01-02T03:04:05Z", "2024-01-02T03:04:05", "2024-01-02T03:04:05.123+02:00", "2024-13-02T03:04:05Z", "2024-01-02", None])
+    assert got == [True, False, True, False, False, False]
+    assert values(spark, lambda c: money.shown(c.cast("decimal(12,2)")), ["1234.5", "-3", None]) == ["$1,234.50", "-$3.00", None]
