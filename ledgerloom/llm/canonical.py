@@ -34,9 +34,13 @@ def key_of(text: str) -> str:
     return "".join(c for c in flat if c.isalnum())
 
 
-def reach(length: int) -> int:
-    """Edits allowed for an entry of this many letters."""
-    return 0 if length <= 3 else 1 if length <= 5 else 2 if length <= 16 else 3
+def reach(length: int, typed: int = 99) -> int:
+    """Edits allowed for an entry of this many letters; a short entry may take two if letters were added to it."""
+    if length <= 3:
+        return 0
+    if length <= 5:
+        return 2 if typed > length else 1
+    return 2 if length <= 16 else 3
 
 
 class Automaton:
@@ -108,7 +112,7 @@ class Trie:
             node, state = stack.pop()
             if node.entries:
                 d = auto.distance(state)
-                found += [(d, *x) for x in node.entries if d is not None and d <= reach(len(x[0]))]
+                found += [(d, *x) for x in node.entries if d is not None and d <= reach(len(x[0]), len(key))]
             for c, child in node.next.items():
                 after = auto.step(state, c)
                 if after and min(e for _, e, _ in after) <= child.most:
