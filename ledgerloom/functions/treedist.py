@@ -124,16 +124,13 @@ def edit_script(a: Node, b: Node, relabel: Callable[[Node, Node], float]) -> tup
         kind = "rename" if x.label != y.label else "move" if x.place != y.place else "keep"
         fc, fo = forest(x.children, y.children)
         best = (c + fc, [(kind, x, y)] + fo)
-        for h in x.children:  # x leaves the path, h takes its place
-            c2, o2 = tree(h, y)
-            rest = [z for z in x.children if z is not h]
-            if (cost := 1 + sum(z.weight() for z in rest) + c2) < best[0]:
-                best = (cost, [("delete", x, None)] + [op for z in rest for op in gone(z)] + o2)
+        all_x, all_y = x.weight(), y.weight()
+        for h in x.children:  # x leaves the path, h takes its place; what leaves with x alone may cost too much
+            if (loss := all_x - h.weight()) < best[0] and (cost := loss + tree(h, y)[0]) < best[0]:
+                best = (cost, [("delete", x, None)] + [op for z in x.children if z is not h for op in gone(z)] + tree(h, y)[1])
         for h in y.children:
-            c2, o2 = tree(x, h)
-            rest = [z for z in y.children if z is not h]
-            if (cost := 1 + sum(z.weight() for z in rest) + c2) < best[0]:
-                best = (cost, [("add", None, y)] + [op for z in rest for op in new(z)] + o2)
+            if (loss := all_y - h.weight()) < best[0] and (cost := loss + tree(x, h)[0]) < best[0]:
+                best = (cost, [("add", None, y)] + [op for z in y.children if z is not h for op in new(z)] + tree(x, h)[1])
         if (cost := x.weight() + y.weight()) < best[0]:
             best = (cost, gone(x) + new(y))
         memo[key] = best
