@@ -178,12 +178,18 @@ def _norm(c):
     return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
 
 
+def review_items(review: DataFrame) -> DataFrame:
+    """The columns of files, each item_id once (items without an id by file, place and header); rows without a file are
+    left out."""
+    key = F.coalesce(F.col("item_id"), F.concat_ws("|", F.lit("item"), F.col("file_id").cast("string"), F.col("header_no").cast("string"), "header"))
+    cols = ["file_id", "source", "received_at", "header_no", "header", "proposed_field", "samples", "samples_withheld"]
+    return review.where("file_id is not null").select(key.alias("__item"), *cols).dropDuplicates(["__item"]).drop("__item")
+
+
 def with_concepts(review: DataFrame) -> DataFrame:
-    """Items once each, with the field that most files of the same kind of source propose for their header."""
-    items = (
-        review.dropDuplicates(["item_id"]) if "item_id" in review.columns else review
-    ).select("file_id", "source", "received_at", "header_no", "header", "proposed_field", "samples", "samples_withheld")
-    items = items.withColumn("norm", _norm("header")).withColumn("family", F.regexp_replace(F.coalesce("source", F.lit("")), r"[_-]?\d+$", ""))
+    """Items with the field that most files of the same kind of source propose for their header."""
+    items = review_items(review)
+    items = items.withColumn("norm", F.coalesce(_norm("header"), F.lit(""))).withColumn("family", F.regexp_replace(F.coalesce("source", F.lit("")), r"[_-]?\d+$", ""))
     votes = items.where("proposed_field is not null").groupBy("family", "norm", "proposed_field").agg(F.count(F.lit(1)).alias("n"))
     concept = votes.groupBy("family", "norm").agg(F.max_by("proposed_field", F.struct("n", "proposed_field")).alias("concept"))
     return lookup_join(items, concept, ["family", "norm"])
@@ -288,22 +294,20 @@ def consistent_table(review: DataFrame, raw: DataFrame, found: DataFrame) -> Dat
     A file that gives one field twice keeps the first by place; the later ones go to other_columns
     under their header. Cells beyond the headers are kept as column_N. Null cells stay null.
     """
-    items = review.dropDuplicates(["item_id"]).withColumn("norm", _norm("header"))
+    items = review_items(review).where("header_no is not null").dropDuplicates(["file_id", "header_no"]).withColumn("norm", F.coalesce(_norm("header"), F.lit("")))
     named = items.select("source", "file_id", "header_no", "norm").join(canonical_columns(review, found), ["source", "norm"], "left")
     place = Window.partitionBy("file_id", "column").orderBy("header_no")
     named = named.withColumn("column", F.when(F.row_number().over(place) == 1, F.col("column")).otherwise(F.concat("norm", F.lit(" #"), F.col("header_no").cast("string"))))
     projection = named.groupBy("file_id").agg(
-        F.min("source").alias("source"), F.map_from_entries(F.collect_list(F.struct(F.col("header_no").cast("int"), F.col("column")))).alias("names")
+        F.min("source").alias("source"), F.map_from_entries(F.collect_list(F.struct(F.col("header_no").cast("int"), F.coalesce("column", F.concat(F.lit("column_"), F.col("header_no").cast("string")))))).alias("names")
     )
     fields = sorted(r[0] for r in review.select(F.explode("allowed_fields")).distinct().collect() if r[0] and r[0] != "none")
-    rows = raw.join(projection, "file_id", "left").withColumn(
-        "cell_map",
-        F.map_from_entries(
-            F.transform(
-                F.coalesce("cells", F.array().cast("array<string>")),
-                lambda v, i: F.struct(F.coalesce(F.col("names")[i + 1], F.concat(F.lit("column_"), (i + 1).cast("string"))), v),
-            )
-        ),
+    rows = raw.select("raw_id", "file_id", "row_number", "cells").join(projection, "file_id", "left").withColumn(
+        "keys", F.transform(F.coalesce("cells", F.array().cast("array<string>")), lambda v, i: F.coalesce(F.col("names")[i + 1], F.concat(F.lit("column_"), (i + 1).cast("string"))))
+    ).withColumn(
+        "cell_map",  # a name that a file gives twice gets its place added
+        F.map_from_entries(F.transform("keys", lambda k, i: F.struct(
+            F.when(F.array_position("keys", k) == i + 1, k).otherwise(F.concat(k, F.lit(" at place "), (i + 1).cast("string"))), F.get("cells", i)))),
     )
     return rows.select(
         "raw_id", "file_id", "source", "row_number",

@@ -155,6 +155,27 @@ def test_consistent_table(spark):
     assert got[2]["t__zip"] == "11111" and got[2]["other_columns"]["column_3"] == "extra" and got[3]["t__zip"] is None
 
 
+def test_schema_drift_edges(spark):
+    df = review(spark, [(1, "crm_1", 1, [("Zip", "t.zip", ["12345", None]), (None, None, None)]), (2, "crm_1", 2, [(None, None, ["x"]), ("x" * 5000, None, [])]), (3, None, 3, [("A", None, ["1"])]), (4, None, 4, [("A", None, None), ("A", None, ["q"])])])
+    df = df.unionByName(df.where("file_id = 2").withColumn("item_id", F.lit(None).cast("string"))).unionByName(df.limit(1).withColumn("file_id", F.lit(None).cast("long")))
+    df = df.withColumn("norm", F.lit("clash")).withColumn("concept", F.lit("clash")).withColumn("format_fingerprint", F.lit("f"))
+    got = rows(schema_drift.changes(df).select("file_id", "change_kind"))
+    assert {f for f, _ in got} == {2, 4} and (4, "added") in got
+    empty = df.limit(0)
+    assert schema_drift.changes(empty).count() == 0
+    raw = spark.createDataFrame([(1, 1, 1, ["a"], "clash")], "raw_id long, file_id long, row_number long, cells array<string>, source string")
+    t = schema_drift.consistent_table(df, raw, schema_drift.changes(df)).collect()
+    assert len(t) == 1 and t[0]["t__zip"] == "a"
+    assert schema_drift.consistent_table(df, raw.limit(0), schema_drift.changes(df)).count() == 0
+
+
+def test_split_values_edges(spark):
+    df = spark.createDataFrame([(1, None), (2, "")], "rec_id long, license_states string")
+    assert multivalue.explode_values(df, "rec_id", "license_states").count() == 0 and multivalue.explode_values(df.limit(0), "rec_id", "license_states").count() == 0
+    long = spark.createDataFrame([(1, ",".join(["FL"] * 20000))], "rec_id long, license_states string")
+    assert multivalue.explode_values(long, "rec_id", "license_states").count() == 20000
+
+
 def test_sample_kinds():
     k = schema_drift.sample_kind
     assert [k(x) for x in ("12", "20240101", "$1,234.50", "(6.5)", "3/4/20", "07-Mar-1956", "Y", "TRUE", "RD-12", "-", "N/A", None)] == [
