@@ -182,7 +182,7 @@ def chk_license_gap(spark: SparkSession, d: str) -> DataFrame:
 _CELLS = "SELECT writing_agent_npn AS agent, carrier || ' ' || CAST(year(effective_date) AS VARCHAR) AS cell FROM policies WHERE writing_agent_npn IS NOT NULL AND effective_date IS NOT NULL"
 
 
-@query(f"SELECT agent, cell, n, sum(n) OVER (PARTITION BY agent) AS agent_total FROM (SELECT agent, cell, count(*) AS n FROM ({_CELLS}) GROUP BY 1, 2)")
+@query(f"SELECT agent, cell, n, CAST(sum(n) OVER (PARTITION BY agent) AS BIGINT) AS agent_total FROM (SELECT agent, cell, count(*) AS n FROM ({_CELLS}) GROUP BY 1, 2)")
 def dash_agent_cells(spark: SparkSession, d: str) -> DataFrame:
     """The agent matrix in long form: sales by agent, carrier and year. The total per agent is a window over aggregated cells."""
     p = table(spark, d, "policies").where("writing_agent_npn is not null and effective_date is not null")
