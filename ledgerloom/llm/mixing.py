@@ -94,9 +94,8 @@ def share_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     got = mixed.groupBy("source").agg(
         F.count(F.lit(1)).alias("documents"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("most_repeats"),
     )
-    total = got.agg(F.sum("tokens").alias("all_tokens"))
     return (
-        targets.join(got, "source", "left").crossJoin(F.broadcast(total))  # one row
+        targets.join(got, "source", "left").withColumn("all_tokens", F.sum("tokens").over(Window.partitionBy()))  # a row per source
         .select("source", "target_share", "max_repeats", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"),
                 F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), (F.coalesce("tokens", F.lit(0)) / F.col("all_tokens")).alias("actual_share"))
     )

@@ -91,8 +91,10 @@ def _items(docs: DataFrame, sizes: DataFrame, partition_tokens: int) -> DataFram
     """Every text, or every piece of a text that alone exceeds the capacity, for each container size."""
     total = docs.agg(F.sum("n_tokens")).first()[0] or 0
     parts = max(1, -(-total // partition_tokens))
+    few = sizes.select("pack_id", "capacity_tokens").where("capacity_tokens > 0").distinct().collect()  # a fixed few
+    boxes = F.array(*[F.struct(F.lit(r[0]).cast("bigint").alias("pack_id"), F.lit(r[1]).cast("bigint").alias("capacity_tokens")) for r in few]).cast("array<struct<pack_id:bigint,capacity_tokens:bigint>>")
     return (
-        docs.where("n_tokens > 0").crossJoin(F.broadcast(sizes.select("pack_id", "capacity_tokens").distinct()))  # sizes: a fixed few
+        docs.where("n_tokens > 0").select("*", F.explode(boxes).alias("size")).select("*", "size.*")
         .withColumn("pieces", F.ceil(F.col("n_tokens") / F.col("capacity_tokens")))
         .select("*", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece_no"))
         .withColumn("n_tokens", F.least("capacity_tokens", F.col("n_tokens") - F.col("piece_no") * F.col("capacity_tokens")).cast("bigint"))
