@@ -20,7 +20,7 @@ def detection_score(findings: DataFrame, planted: DataFrame, rows: DataFrame) ->
     hits = findings.select("row_id", "rule_id").distinct().withColumn("hit", F.lit(True))
     marks = planted.select("row_id", "kind", "rule_id").distinct().join(hits, ["row_id", "rule_id"], "left")
     per_kind = marks.groupBy("kind").agg(F.count(F.lit(1)).cast("bigint").alias("planted"), F.count("hit").cast("bigint").alias("detected"))
-    clean = rows.select("row_id").join(planted.select("row_id").distinct(), "row_id", "left_anti")
-    wrong = clean.join(hits.select("row_id").distinct(), "row_id", "left_semi").agg(F.count(F.lit(1)).cast("bigint").alias("detected"))
-    total = clean.agg(F.count(F.lit(1)).cast("bigint").alias("planted"))
-    return per_kind.unionByName(total.crossJoin(wrong).select(F.lit("(clean rows)").alias("kind"), "planted", "detected"))  # one row each
+    hit_rows = hits.select("row_id", "hit").distinct()
+    clean = rows.select("row_id").join(planted.select("row_id").distinct(), "row_id", "left_anti").join(hit_rows, "row_id", "left")
+    total = clean.agg(F.count(F.lit(1)).cast("bigint").alias("planted"), F.count("hit").cast("bigint").alias("detected"))
+    return per_kind.unionByName(total.select(F.lit("(clean rows)").alias("kind"), "planted", "detected"))

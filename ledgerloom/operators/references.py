@@ -100,9 +100,9 @@ def _refs(child: DataFrame, ref: Reference) -> DataFrame:
 
 def heavy_keys(refs: DataFrame, share: float) -> DataFrame:
     """Keys holding more than share of all references; at most 1 / share rows by construction."""
-    counts = refs.groupBy("scope", "key").agg(F.count(F.lit(1)).alias("n"))
-    total = refs.agg((F.count(F.lit(1)) * F.lit(share)).alias("least"))
-    return counts.join(F.broadcast(total), F.col("n") > F.greatest(F.col("least"), F.lit(1.0))).select("scope", "key")
+    counts = refs.groupBy("scope", "key").agg(F.count(F.lit(1)).alias("n")).withColumn("all", F.lit(1))
+    total = refs.groupBy(F.lit(1).alias("all")).agg((F.count(F.lit(1)) * F.lit(share)).alias("least"))  # one row
+    return counts.join(F.broadcast(total), "all").where(F.col("n") > F.greatest(F.col("least"), F.lit(1.0))).select("scope", "key")
 
 
 def orphans_of(child: DataFrame, parent: DataFrame, removed: DataFrame, ref: Reference, share: float = HEAVY_SHARE) -> DataFrame:

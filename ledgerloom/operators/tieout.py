@@ -97,11 +97,11 @@ def in_force(book: DataFrame, months: DataFrame) -> DataFrame:
     product of policies and months with a range filter. The run's months are few (a calendar's length).
     """
     run = months.select("statement_period", "period_start").distinct()
-    ends = run.agg(F.min("period_start").alias("lo"), F.max("period_start").alias("hi"))
-    b = book.where("status = 'ACTIVE'").crossJoin(F.broadcast(ends))  # one row
-    first = F.greatest(F.trunc("effective_date", "MM"), F.col("lo"))
-    last = F.least(F.trunc(F.coalesce("termination_date", "hi"), "MM"), F.col("hi"))
-    own = b.where(first <= last).withColumn("period_start", F.explode(F.sequence(first, last, F.expr("interval 1 month")))).drop("lo", "hi")
+    ends = run.agg(F.min("period_start").alias("lo"), F.max("period_start").alias("hi")).first()
+    lo, hi = F.lit(ends["lo"]).cast("date"), F.lit(ends["hi"]).cast("date")
+    first = F.greatest(F.trunc("effective_date", "MM"), lo)
+    last = F.least(F.trunc(F.coalesce("termination_date", hi), "MM"), hi)
+    own = book.where("status = 'ACTIVE' and effective_date is not null").where(first <= last).withColumn("period_start", F.explode(F.sequence(first, last, F.expr("interval 1 month"))))
     reported = months.select("carrier", "statement_period", F.lit(True).alias("has_statement"))
     return own.join(F.broadcast(run), "period_start").join(F.broadcast(reported), ["carrier", "statement_period"], "left").withColumn("has_statement", F.coalesce("has_statement", F.lit(False)))
 
