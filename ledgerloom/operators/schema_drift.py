@@ -171,9 +171,6 @@ def diff_columns(old, new) -> list[tuple[str, str, str]]:
     return out
 
 
-_COLS = "array<struct<header_no:bigint,header:string,proposed_field:string,concept:string,samples:array<string>,samples_withheld:boolean>>"
-
-
 def _norm(c):
     return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ledgerloom.operators import multivalue, references, schema_drift
 from ledgerloom.runtime import durable, table

@@ -307,3 +307,48 @@ def test_mapping():
     m = mapping.map_headers(["Birth Dt", "Born", "Zip", "Shoe"], syn, required=["clients.dob", "clients.city"])
     assert m["mapped"] == {"Birth Dt": "clients.dob", "Zip": "clients.zip"} and m["doubles"] == {"Born": "clients.dob"} and m["missing"] == ["clients.city"]
     assert mapping.candidates("Postal Cd", syn)[0][0] == "clients.zip"
+
+
+def test_mapping_benchmark_and_learning(spark):
+    truth = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", None), ("d", "z")], "header string, field string")
+    got = spark.createDataFrame([("a", "x"), ("b", "q"), ("d", None)], "header string, field string")
+    assert tuple(mapping.benchmark(got, truth).first()) == (4, 2, 2, 1, 1)
+    df = review(spark, [(1, "s_1", 1, [("Zip", "t.zip", None), ("ZIP ", "t.zip", None)]), (2, "s_1", 2, [("zip", "t.zip", None), ("Nm", "none", None)])])
+    assert rows(mapping.learn_synonyms(df)) == [("t.zip", "zip", 2)]
+    assert rows(mapping.mapping_conflicts(df)) == [(1, "t.zip", 2)]
+    assert {(r["header"], r["field"]) for r in mapping.header_candidates(df).collect()} >= {("zip", "t.zip")}
+
+
+def test_numbering(spark):
+    from ledgerloom.operators import numbering
+
+    df = spark.createDataFrame([(i % 7, f"r{i:03}") for i in range(100)] + [(None, "n")], "a long, b string")
+    got = numbering.number_rows(df, ["a", "b"], parts=5).collect()
+    want = sorted(((r["a"] is not None, r["a"] or 0, r["b"]) for r in df.collect()))
+    assert [(r["a"] is not None, r["a"] or 0, r["b"]) for r in sorted(got, key=lambda r: r["number"])] == want and sorted(r["number"] for r in got) == list(range(1, 102))
+    assert numbering.number_rows(df.limit(0), ["a"]).count() == 0
+    ids = spark.createDataFrame([("x", 1), ("x", 2), ("x", 2), ("y", 1)], "id string, n long")
+    assert rows(numbering.unique_ids(ids, "id", "n")) == [("x", 1), ("x-2", 2), ("y", 1)]
+
+
+def test_replay(spark):
+    from ledgerloom.operators import replay
+
+    notes = spark.createDataFrame([(1, "hospital stay 5"), (2, "hospital stay 7"), (3, "call back"), (4, None), (5, "new surgery")], "rec_id long, notes string")
+    known = notes.where("rec_id = 1").select(replay.question_hash(F.regexp_replace("notes", r"\d", "#")).alias("question"), F.lit(0.1).alias("answer"))
+    got = {r["rec_id"]: (r["notes"], r["withheld"]) for r in replay.gate_notes(notes, "notes", known).collect()}
+    assert got == {1: ("hospital stay 5", False), 2: ("hospital stay 7", False), 3: ("call back", False), 4: (None, False), 5: ("[redacted]", True)}
+
+
+def test_attach_and_zip_states(spark):
+    found = spark.createDataFrame([("c", 1, "R"), ("p", 1, "R"), ("p", 9, "R")], "source string, row_id long, rule_id string")
+    c, p = spark.createDataFrame([(1, "NY")], "rec_id long, state string"), spark.createDataFrame([(1, "CA", "X")], "rec_id long, state string, carrier string")
+    got = {(r["source"], r["row_id"], r["state"], r["carrier"]) for r in findings.attach_rows(found, {"c": (c, "rec_id"), "p": (p, "rec_id")}, ["state", "carrier"]).collect()}
+    assert got == {("c", 1, "NY", None), ("p", 1, "CA", "X"), ("p", 9, None, None)}
+    z = spark.createDataFrame([(i, "12345", "NY") for i in range(20)] + [(99, "12399", "CA"), (100, "99999", "CA"), (101, None, "CA")], "rec_id long, zip string, state string")
+    assert [r["rec_id"] for r in findings.zip_state_mismatch(z, findings.learn_zip_states(z)).collect()] == [99]
+
+
+def test_out_of_order(spark):
+    df = spark.createDataFrame([("s", 1, T(2024, 1, 2)), ("s", 2, T(2024, 1, 1)), ("t", 1, T(2024, 1, 1))], "scope string, seq long, received_at timestamp_ntz")
+    assert rows(versions.out_of_order(df)) == [("s", 2)]
