@@ -3,7 +3,6 @@
 import datetime
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import abuse, address_match, canonical, linkage, mixing, packing, pii, tokens
