@@ -62,6 +62,19 @@ def test_linkage_filler_dates(spark):
     assert len(right) >= 185
 
 
+def test_linkage_filler_date_and_other_agent(spark):
+    """A third of the lines bears a filler date and an agent the client does not have; the clients have true dates."""
+    s, c, p = people(spark, 300)
+    lost = F.col("line_id").cast("string").rlike("[147]$") & (F.col("line_id") < 200)
+    s2 = s.where("line_id < 1000").withColumn("member_dob", F.when(lost, "1900-01-01").otherwise(F.col("member_dob"))).withColumn("agent_npn", F.when(lost, "A99").otherwise(F.col("agent_npn")))
+    tagged = linkage.line_people(s2)
+    sigs, folk, ctx = linkage._signatures(tagged), linkage.client_people(c), linkage.contexts(p)
+    pairs = linkage.candidate_pairs(sigs, folk, ctx).join(tagged, "sig").join(folk, "cid").where(lost & (F.col("client_id") == F.concat(F.lit("C"), "line_id")))
+    assert pairs.select("line_id").distinct().count() == s2.where(lost).select("line_id").distinct().count() > 50
+    got = linkage.link(s2, c, p).where(lost).collect()
+    assert len(got) >= 55 and all(r["client_id"] == f"C{r['line_id']}" for r in got)
+
+
 def test_linkage_empty(spark):
     s, c, p = people(spark, 30)
     assert linkage.link(s.limit(0), c, p).count() == 0 and linkage.link(s, c.limit(0), p).count() == 0
