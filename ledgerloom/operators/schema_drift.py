@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.treedist import Node, edit_script
 from ledgerloom.runtime import durable, lookup_join
 
-# Samples that say nothing, flag words, and wordings of columns that no canonical field covers.
+# Samples that say nothing, flag words, and wordings of columns that no canonical field
+# covers; what is not listed is judged by spelling, samples and place, and by what is learnt from the files.
 FILLERS = {"", "-", "--", "n/a", "na", "none", "null", "nil", "?", "???", "tbd", "."}
 FLAGS = {"y", "n", "yes", "no", "true", "false", "t", "f", "si", "sí"}
 OTHER_COLUMNS = (
@@ -97,18 +98,21 @@ def _words(h: str) -> str:
 _GROUP = {w: i for i, g in enumerate(OTHER_COLUMNS) for w in g}
 
 
-def rename_score(a: dict, b: dict) -> float:
-    """How far column b of the new file carries on column a of the old one, 0 to 1."""
+def rename_score(a: dict, b: dict, learned: frozenset = frozenset()) -> float:
+    """How far column b of the new file carries on column a of the old one, 0 to 1. learned holds pairs of
+    wordings, in order of letters, that replace each other in this kind of source."""
     known_a, known_b = a["concept"], b["concept"]
     wa, wb = _words(a["header"]), _words(b["header"])
     ga, gb = _GROUP.get(wa), _GROUP.get(wb)
-    if ga is not None or gb is not None:
+    if ga is not None and gb is not None:
         score = 0.7 if ga == gb else 0.0
     elif known_a and known_b and "none" not in (known_a, known_b):
         score = 0.7 if known_a == known_b else 0.0
     else:
         lexical = max(SequenceMatcher(None, wa, wb).ratio(), _jaccard(wa, wb))
         score = 0.6 * lexical if (known_a == known_b or not known_a or not known_b) else 0.2 * lexical
+        if (min(wa, wb), max(wa, wb)) in learned:
+            score = max(score, 0.55)
     if score == 0.0:
         return 0.0
     if a["proposed"] and a["proposed"] != "none" and a["proposed"] == b["proposed"]:
@@ -138,7 +142,7 @@ def _tree(columns) -> Node:
     return Node("", kids)
 
 
-def diff_columns(old, new) -> list[tuple[str, str, str]]:
+def diff_columns(old, new, learned: frozenset = frozenset()) -> list[tuple[str, str, str]]:
     """(change_kind, old_header, new_header) from one file's columns to the next file's."""
     a, b = _tree(old), _tree(new)
     left, right = {x.label for x in a.children}, {y.label for y in b.children}
@@ -153,7 +157,7 @@ def diff_columns(old, new) -> list[tuple[str, str, str]]:
             return 0.0
         if x.data is None or y.data is None:
             return 4.0
-        score = rename_score(x.data, y.data)
+        score = rename_score(x.data, y.data, learned)
         return 2 * (1 - score) / (1 - RENAME_FROM) if score < RENAME_FROM else 1.99 * (1 - score) / (1 - RENAME_FROM)
 
     out = []
@@ -224,24 +228,62 @@ def file_pairs(review: DataFrame, parts: int | None = None) -> DataFrame:
     return files.join(prev, "file_id").join(old, "prev_id", "left").select("file_id", "source", "received_at", "prev_id", "old_cols", "cols")
 
 
+def _family(source: str | None) -> str:
+    return re.sub(r"[_-]?\d+$", "", source or "")
+
+
+def _other_headers(columns) -> dict[str, str]:
+    """norm_header and words of a file's columns that no canonical field covers."""
+    return {norm_header(c["header"]): _words(c["header"]) for c in columns if c["concept"] in (None, "none") and _words(c["header"])}
+
+
+def learned_renames(pairs: DataFrame) -> DataFrame:
+    """(family, x, y): wordings without a canonical field, x before y, of which one goes where the other comes in
+    at least two sources of a family, and which no file of the family has side by side. At most the pairs of
+    its vocabulary."""
+
+    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = set()
+            for s, old, new in zip(pdf.source, pdf.old_cols, pdf.cols):
+                a, b = _other_headers(old if old is not None else ()), _other_headers(new)
+                here = sorted(set(b.values()))
+                out |= {(_family(s), x, y, s or "", True) for i, x in enumerate(here) for y in here[i + 1 :]}
+                gone, come = [w for h, w in a.items() if h not in b], [w for h, w in b.items() if h not in a]
+                out |= {(_family(s), min(x, y), max(x, y), s or "", False) for x in gone for y in come if x != y}
+            yield pd.DataFrame(sorted(out), columns=["family", "x", "y", "source", "together"])
+
+    slim = lambda c: F.transform(c, lambda k: F.struct(k["header"].alias("header"), k["concept"].alias("concept"))).alias(c)
+    seen = pairs.select("source", slim("old_cols"), slim("cols")).mapInPandas(met, "family string, x string, y string, source string, together boolean")
+    return (
+        seen.groupBy("family", "x", "y").agg(F.bool_or("together").alias("together"), F.min("source").alias("one"), F.max("source").alias("two"))
+        .where("not together and one <> two").select("family", "x", "y")
+    )
+
+
 def changes(review: DataFrame) -> DataFrame:
     """(file_id, source, change_kind, old_header, new_header) of each file against the one before it.
 
     A source's first file has no changes. Null headers count as ''; null or withheld samples have no
     kind; a header that a file repeats is paired in order of place; repeated items (same item_id) count once.
     """
+    pairs = durable(file_pairs(review))
+    learned: dict[str, set] = {}
+    for r in learned_renames(pairs).collect():
+        learned.setdefault(r["family"], set()).add((r["x"], r["y"]))
+    learned = {family: frozenset(p) for family, p in learned.items()}
 
     def scripts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [
                 (f, s, *c)
                 for f, s, old, new in zip(pdf.file_id, pdf.source, pdf.old_cols, pdf.cols)
-                for c in diff_columns(old, new)
+                for c in diff_columns(old, new, learned.get(_family(s), frozenset()))
             ]
             yield pd.DataFrame(rows, columns=["file_id", "source", "change_kind", "old_header", "new_header"])
 
-    pairs = file_pairs(review).where("prev_id is not null").select("file_id", "source", "old_cols", "cols")
-    return pairs.mapInPandas(scripts, "file_id bigint, source string, change_kind string, old_header string, new_header string")
+    later = pairs.where("prev_id is not null").select("file_id", "source", "old_cols", "cols")
+    return later.mapInPandas(scripts, "file_id bigint, source string, change_kind string, old_header string, new_header string")
 
 
 def canonical_columns(review: DataFrame, found: DataFrame) -> DataFrame:

@@ -134,6 +134,21 @@ def test_schema_changes(spark):
         (3, "removed", " NAME ", ""), (3, "removed", "Paid", ""), (3, "retyped", "Postal Code", "Postal  Code"), (3, "added", "", "Smoker?")])
 
 
+def test_renames_beyond_the_list(spark):
+    """A listed wording may become one that is not listed; wordings that replace each other are learnt."""
+    files = [
+        (1, "crm_1", 1, [("Smoker", "none", ["Y", "N"]), ("Quux", "none", ["AB-1"])]),
+        (2, "crm_1", 2, [("Smoker Flag", "none", ["N", "Y"]), ("Zorg", "none", ["AB-2"])]),
+        (3, "crm_2", 1, [("Desk", "none", ["East"]), ("Zorg", "none", ["CD-3"])]),
+        (4, "crm_2", 2, [("Desk Name", "none", ["West"]), ("Quux", "none", ["CD-4"])]),
+        (5, "pay_1", 1, [("Smoker", "none", ["Y"])]), (6, "pay_1", 2, [("Submit Dt", "none", ["1/2/2024"])]),
+    ]
+    got = rows(schema_drift.changes(review(spark, files)).select("file_id", "change_kind", "old_header", "new_header"))
+    assert got == sorted([
+        (2, "renamed", "Smoker", "Smoker Flag"), (2, "renamed", "Quux", "Zorg"), (4, "renamed", "Desk", "Desk Name"), (4, "renamed", "Zorg", "Quux"),
+        (6, "removed", "Smoker", ""), (6, "added", "", "Submit Dt")])
+
+
 def test_file_pairs_follow_order_over_partitions(spark):
     r = random.Random(1)
     files = [(i, f"crm_{'7' if r.random() < 0.5 else i % 5}", 1 + r.randint(0, 20), [("A", None, ["1"])]) for i in range(60)]
