@@ -36,9 +36,10 @@ def model() -> Tagger:
 
 
 # The exact check. It moves a found span to the edges of the token, number or address that it lies on, and drops
-# a span that holds nothing of its kind; it never adds one.
+# a span that holds nothing of its kind; it never adds one. A form that the patterns do not list stays as found, at
+# token edges, if it holds what its kind needs.
 _EMAIL = re.compile(r"[\w.+-]+(?:@|\s*\(at\)\s*|\s*\[at\]\s*|\s+at\s+|\s+arroba\s+)[\w-]+(?:(?:\.|\s+dot\s+|\s+punto\s+|\s*\(dot\)\s*)[\w-]+)+", re.I)
-_PHONE = re.compile(r"(?<![\w-])(?:\+?1[-.\s]?)?(?:\(\d{3}\)\s?|\d{3}[-./\s]?)?\d{3}[-.\s]?\d{4}(?:\s?(?:x|ext\.?)\s?\d{1,5})?(?![\w-]*\d)", re.I)
+_PHONE = re.compile(r"(?<![\w-])(?:\+?1[-.\s]?)?(?:\(\d{3}\)\s?|\d{3}[-./\s]?)?\d{3}[-.\s]?\d{4}(?:\s?(?:x|ext(?:ension|n)?\.?)\s?\d{1,5})?(?![\w-]*\d)", re.I)
 _IDNUM = re.compile(r"(?<![\w-])(?:\d{3}[-. ]?\d{2}[-. ]?\d{4}|\d[a-z]{2}\d-?[a-z][a-z0-9]\d-?[a-z]{2}\d{2}|[a-z]\d{3}-\d{4}-\d{4}|[a-z]\d{8})(?![\w-])", re.I)
 _WORD = r"[^\W\d_][\w'’-]*\.?"
 _TITLES = re.compile(r"^(?:(?:dr|mrs?|ms|miss|sra?|srta|don|doña)\b\.?\s*)+", re.I)
@@ -56,14 +57,34 @@ def _overlap(text: str, rx: re.Pattern, a: int, b: int) -> tuple[int, int] | Non
     return best
 
 
+_LIKE = {
+    "email": re.compile(r"[^\s@]+@[^\s@]+\.[^\s@]+"),
+    "phone": re.compile(r"(?:\+|00)?(?:[-./\s()]*\d){7,15}\)?(?:,?\s*(?:x|ext(?:ension|n)?\.?)\s*\d{1,5})?", re.I),
+    "id_number": re.compile(r"(?=(?:[^\d]*\d){5})[a-z\d]+(?:[-. /][a-z\d]+)*", re.I),
+}
+
+
+def _unlisted(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
+    """The span at token edges if it holds what its kind needs, else None."""
+    while a > 0 and a < len(text) and text[a].isalnum() and text[a - 1].isalnum():
+        a -= 1
+    while 0 < b < len(text) and text[b - 1].isalnum() and text[b].isalnum():
+        b += 1
+    while b > a and not text[b - 1].isalnum() and text[b - 1] != ")":
+        b -= 1
+    while a < b and not text[a].isalnum() and text[a] not in "+(":
+        a += 1
+    return (a, b) if _LIKE[kind].fullmatch(text, a, b) else None
+
+
 def settle(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
     """The span's exact edges, or None if nothing of its kind is there."""
     if kind == "email":
-        return _overlap(text, _EMAIL, a, b)
+        return _overlap(text, _EMAIL, a, b) or _unlisted(text, a, b, kind)
     if kind == "phone":
-        return _overlap(text, _PHONE, a, b)
+        return _overlap(text, _PHONE, a, b) or _unlisted(text, a, b, kind)
     if kind == "id_number":
-        return _overlap(text, _IDNUM, a, b)
+        return _overlap(text, _IDNUM, a, b) or _unlisted(text, a, b, kind)
     while a > 0 and re.match(r"[\w]", text[a]) and re.match(r"[\w'’]", text[a - 1]):
         a -= 1
     while b < len(text) and re.match(r"\w", text[b - 1]) and re.match(r"[\w]", text[b]):

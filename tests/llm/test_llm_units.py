@@ -156,6 +156,14 @@ def test_finder_on_held_out_notes():
     assert hit / want > 0.9 and hit / got > 0.9, (hit, want, got)
 
 
+@pytest.mark.parametrize("mention,kind,start,end", [
+    ("+44 20 7946 0958", "phone", 0, 16), ("212-555-0100 extension 12", "phone", 0, 25), ("A1234567", "id_number", 1, 7), ("A123-456-78-901-0", "id_number", 0, 17), ("ann@host.example", "email", 0, 16)])
+def test_forms_beyond_the_patterns(mention, kind, start, end):
+    t = f"see {mention}, then"
+    assert pii.settle(t, 4 + start, 4 + end, kind) == (4, 4 + len(mention))
+    assert pii.settle("see them, then", 4, 8, kind) is None and pii.settle("on 12 May", 3, 9, kind) is None
+
+
 def test_redaction_keeps_the_rest():
     t = "call 212-555-0100, mail a@b.example"
     assert pii.redact(t, [(5, 17, "phone"), (24, 35, "email")]) == "call [PHONE], mail [EMAIL]" and pii.redact("", []) == ""
