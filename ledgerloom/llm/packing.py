@@ -103,6 +103,26 @@ def _items(docs: DataFrame, sizes: DataFrame, partition_tokens: int) -> DataFram
     )
 
 
+def _part_of(container_id: str):
+    return F.split(container_id, "-")[1].cast("bigint")
+
+
+def _merged(part):
+    """The number under which the underfull containers of MERGE partitions are packed again."""
+    return F.lit(-1) - F.floor(part / MERGE)
+
+
+def owed_after(filled: DataFrame, owed: DataFrame) -> DataFrame:
+    """(pack_id, part, source, share, owed) at the start of each second packing: what its first partition had to owe,
+    and what the containers that stay have added to it."""
+    at = owed.groupBy("pack_id", _merged(F.col("part")).alias("part"), "source").agg(F.first("share").alias("share"), F.min_by("owed", "part").alias("start"))
+    placed = filled.groupBy("pack_id", _merged(_part_of("container_id")).alias("part"), "source").agg(F.sum("n_tokens").alias("t"))
+    both = placed.groupBy("pack_id", "part").agg(F.sum("t").alias("all_t"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return at.join(placed, ["pack_id", "part", "source"], "left").join(both, ["pack_id", "part"], "left").select(
+        "pack_id", "part", "source", "share", (F.col("start") + F.col("share") * zero("all_t") - zero("t")).alias("owed"))
+
+
 def pack_documents(docs: DataFrame, sizes: DataFrame, targets: DataFrame | None = None, partition_tokens: int = PARTITION_TOKENS) -> DataFrame:
     """(pack_id, capacity_tokens, container_id, doc_id, piece_no, source, n_tokens, filled) for docs with
     doc_id, source and n_tokens.
@@ -152,10 +172,10 @@ def pack_documents(docs: DataFrame, sizes: DataFrame, targets: DataFrame | None
 
     first = durable(packed(items, owed))
     full = F.col("filled") >= F.col("capacity_tokens") * UNDERFULL
-    rest = durable(first.where(~full)).withColumn("part", F.lit(-1) - F.floor(F.split("container_id", "-")[1].cast("bigint") / MERGE))
+    rest = durable(first.where(~full)).withColumn("part", _merged(_part_of("container_id")))
     again = packed(
         rest.select("pack_id", "capacity_tokens", "part", "doc_id", "piece_no", "source", "n_tokens"),
-        rest.select("pack_id", "part").distinct().join(share, "pack_id").withColumn("owed", F.lit(0.0)),
+        owed_after(first.where(full), owed),
     )
     return first.where(full).unionByName(again)
 
@@ -163,8 +183,18 @@ def pack_documents(docs: DataFrame, sizes: DataFrame, targets: DataFrame | None
 def fill_report(packed: DataFrame) -> DataFrame:
     """Per container size: containers, tokens, and the share of room left unused; and how far a container's
     mix is off the overall mix, as half the summed difference of shares, averaged over tokens."""
-    boxes = packed.groupBy("pack_id", "capacity_tokens", "container_id").agg(F.sum("n_tokens").alias("t"))
+    parts = durable(packed.groupBy("pack_id", "capacity_tokens", "container_id", "source").agg(F.sum("n_tokens").alias("s")))
+    overall = parts.groupBy("pack_id", "source").agg(F.sum("s").alias("all_s"))
+    total = parts.groupBy("pack_id").agg(F.sum("s").alias("all_t"))
+    share = overall.join(F.broadcast(total), "pack_id").select("pack_id", "source", (F.col("all_s") / F.col("all_t")).alias("share"))
+    size = parts.groupBy("pack_id", "container_id").agg(F.sum("s").alias("t"))
+    boxes = (
+        parts.join(size, ["pack_id", "container_id"]).join(F.broadcast(share), ["pack_id", "source"]).groupBy("pack_id", "capacity_tokens", "container_id")
+        # a source that the container lacks is off by its whole share
+        .agg(F.first("t").alias("t"), (F.sum(F.abs(F.col("s") / F.col("t") - F.col("share")) - F.col("share")) + 1).alias("off"))
+    )
     return boxes.groupBy("pack_id", "capacity_tokens").agg(
         F.count(F.lit(1)).alias("containers"), F.sum("t").alias("tokens"),
         (F.lit(1.0) - F.sum("t") / (F.count(F.lit(1)) * F.first("capacity_tokens"))).alias("unused_share"),
+        (F.sum(F.col("off") * F.col("t")) / F.sum("t") / 2).alias("mix_off"),
     )

@@ -125,6 +125,16 @@ def test_pack_documents(spark):
     assert packing.pack_documents(docs.limit(0), sizes).count() == 0
 
 
+def test_mix_of_containers_and_deficits_left(spark):
+    cols = "pack_id long, capacity_tokens long, container_id string, source string, n_tokens long"
+    boxes = spark.createDataFrame([(1, 100, "1-0-0", "a", 80), (1, 100, "1-0-0", "b", 20), (1, 100, "1-1-0", "b", 100)], cols)
+    r = packing.fill_report(boxes).first()
+    assert (r["containers"], r["tokens"]) == (2, 200) and abs(r["unused_share"]) < 1e-9 and abs(r["mix_off"] - 0.4) < 1e-9
+    owed = spark.createDataFrame([(1, p, s, 0.5, o) for p, s, o in ((0, "a", 5.0), (0, "b", -5.0), (1, "a", 9.0), (1, "b", -9.0), (64, "a", 1.0))], "pack_id long, part long, source string, share double, owed double")
+    got = {(r["part"], r["source"]): r["owed"] for r in packing.owed_after(boxes, owed).collect()}
+    assert got == {(-1, "a"): 25.0, (-1, "b"): -25.0, (-2, "a"): 1.0}
+
+
 def test_mix(spark):
     docs = sized(spark, 2000)
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.2, 1), ("c", 0.3, 3)], "source string, target_share double, max_repeats long")
