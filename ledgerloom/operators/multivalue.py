@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 # Quotes open only at the start of a value and need a closing one; a doubled quote inside stands for one.
 _EDGE = r"(?:^|(?<=[,;|/&\s])|(?<=[\s,;|/&](?i:and)))"
-QUOTED = _EDGE + r"""(?:"(?:[^"]|"")*"|'(?:[^']|'')*')"""
+# Possessive and unrolled: the regex engine walks a span of any length in a loop, without recursion.
+QUOTED = _EDGE + r"""(?:"[^"]*+(?:""[^"]*+)*+"|'[^']*+(?:''[^']*+)*+')"""
 DELIMITER = r"[,;|/&\n\r\t\x0B\f\u0085  ]|(?i)\band\b"
-CODES_ONLY = r"^[A-Za-z]{2}(\s+[A-Za-z]{2})+$"
+CODES_ONLY = r"^[A-Za-z]{2}(?:\s++[A-Za-z]{2})++$"
 CUT, OPEN = "\x01", "\x02"
 
 
@@ -31,14 +32,8 @@ def split_values(text: Column) -> Column:
     plain = F.split(clean, QUOTED, -1)
     marked = F.transform(plain, lambda p: F.regexp_replace(p, DELIMITER, CUT))
     # odd pieces (literals) carry OPEN in front, so that a literal's own commas and spaces stay
-    folded = F.aggregate(
-        F.sequence(F.lit(1), F.size(marked)),
-        F.lit(""),
-        lambda acc, i: F.concat(
-            acc,
-            F.get(marked, i - 1),
-            F.coalesce(F.concat(F.lit(OPEN), F.get(literals, i - 1)), F.lit("")),
-        ),
+    folded = F.array_join(  # a fold in one pass; adding to one growing text would copy it for every piece
+        F.transform(marked, lambda p, i: F.concat(p, F.coalesce(F.concat(F.lit(OPEN), F.get(literals, i)), F.lit("")))), ""
     )
     parts = F.split(folded, CUT, -1)
     values = F.flatten(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -29,23 +31,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one is made only where the session names none."""
+    """The folder all executors share, as spark.checkpoint.dir names it. Where it is unset, a local master gets a
+    folder of its own, removed at exit; any other master is refused, since its executors would each write to
+    a disk that the others cannot read."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master or 'this master'} share")
+        folder = tempfile.mkdtemp(prefix="ledgerloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        named = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", named)
     return named
 
 
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver's file system remove path when its JVM ends; results may be read until then."""
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is not None:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage is cut and a lost
-    executor costs nothing. Used where a result is read more than once."""
+    executor costs nothing. Used where a result is read more than once. The files go when the session's JVM ends."""
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"t-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    _delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, most: int, what: str) -> list:
+    """The rows of a table that is small by its nature (a reference list, a vocabulary). More than most rows raise:
+    such a table is none, and the driver must not take it in."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{what}: more than {most} rows")
+    return rows
+
+
 #: Rows up to which a lookup side may be broadcast; beyond it the join is salted.
 BROADCAST_ROWS = 50_000
 SALTS = 16
