@@ -12,6 +12,11 @@ PRODUCER = r"^[1-9][0-9]{0,9}$"
 MEDICARE_PLAN = r"^([HRS])(\d{4})-(\d{3})(?:-(\d{1,3}))?$"
 MEDIGAP = r"(?i)^(PLAN\s+)?[ABCDFGKLMN](\s+HIGH\s+DEDUCTIBLE)?$"
 MARKETPLACE_PLAN = r"^\d{5}[A-Z]{2}\d{7}(-\d{2})?$"
+#: Postal codes of the states, the federal district, the territories and free states, and the forces.
+STATES = (
+    "AL AK AZ AR CA CO CT DE DC FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY "
+    "AA AE AP AS FM GU MH MP PR PW VI"
+).split()
 ZIP = r"^\d{5}(-?\d{4})?$"
 EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, identifiers, text
+from ledgerloom.runtime import lookup_join
 
 SEVERITIES = ("blocker", "error", "warning", "info")
 
@@ -43,37 +44,79 @@ def _given(c: str) -> Column:
     return F.coalesce(text.strip(F.col(c).cast("string")) != "", F.lit(False))
 
 
-def client_checks(as_of: Column) -> list[Check]:
-    """Checks on client rows; as_of is the day on which ages are taken."""
-    age = dates.age_on(F.col("dob").cast("date"), as_of)
-    return [
+def _day(c: str) -> Column:
+    """A day given as a date or written in any known way."""
+    return dates.parse_date_loose(F.col(c).cast("string"))
+
+
+def _unreadable(c: str) -> Column:
+    return _given(c) & _day(c).isNull()
+
+
+def _code(c: str) -> Column:
+    return F.upper(text.strip(F.col(c)))
+
+
+def client_checks(as_of: Column, zip_states: str | None = None) -> list[Check]:
+    """Checks on client rows; as_of is the day on which ages are taken. zip_states names a column with the states of
+    the row's ZIP prefix (null where the prefix is unknown), as with_zip_states adds it."""
+    age = dates.age_on(_day("dob"), as_of)
+    known = _code("state").isin(*identifiers.STATES)
+    out = [
+        Check("DOB-001", "error", "dob", _unreadable("dob"), "no date"),
         Check("DOB-002", "error", "dob", ~age.between(0, 115), "age outside 0 to 115"),
         Check("MBI-001", "error", "mbi", _given("mbi") & ~identifiers.is_medicare_card(F.col("mbi")), "no Medicare card number"),
         Check("ADR-001", "error", "zip", _given("zip") & ~identifiers.is_zip(F.col("zip")), "no ZIP code"),
+        Check("ADR-003", "error", "state", _given("state") & ~known, "no state code"),
         Check("CON-001", "warning", "email", _given("email") & identifiers.normalize_email(F.col("email")).isNull(), "no email address"),
         Check("CON-002", "warning", "phone", _given("phone") & identifiers.normalize_phone(F.col("phone")).isNull(), "no ten-digit telephone"),
     ]
+    if zip_states:
+        out.append(Check("ADR-002", "error", "zip", known & ~F.array_contains(F.col(zip_states), _code("state")), "ZIP code of another state"))
+    return out
 
 
-def policy_checks(statuses: list[str], as_of: Column) -> list[Check]:
-    """Checks on policy rows; statuses are the wordings that count as known."""
-    start, end = F.col("effective_date").cast("date"), F.col("termination_date").cast("date")
-    status = F.upper(text.strip(F.col("status")))
-    return [
-        Check("NPN-001", "error", "writing_agent_npn", _given("writing_agent_npn") & ~identifiers.is_producer_number(F.col("writing_agent_npn")), "no producer number"),
-        Check("PLN-001", "error", "plan_id", _given("plan_id") & F.upper(text.strip(F.col("line_of_business"))).isin("MA", "PDP") & identifiers.plan_parts(F.col("plan_id")).isNull(), "no Medicare plan id"),
-        Check("PLN-002", "error", "plan_id", _given("plan_id") & (F.upper(text.strip(F.col("line_of_business"))) == "ACA") & ~identifiers.is_marketplace_plan(F.col("plan_id")), "no marketplace plan id"),
+def policy_checks(statuses: list[str], as_of: Column, in_roster: str | None = None) -> list[Check]:
+    """Checks on policy rows; statuses are the wordings that count as known. in_roster names a column that is true
+    where the writing agent stands in the roster, as with_roster adds it."""
+    start, end = _day("effective_date"), _day("termination_date")
+    status, line = _code("status"), _code("line_of_business")
+    plan, given = identifiers.plan_parts(F.col("plan_id")), _given("plan_id")
+    producer = identifiers.is_producer_number(F.col("writing_agent_npn"))
+    out = [
+        Check("NPN-001", "error", "writing_agent_npn", _given("writing_agent_npn") & ~producer, "no producer number"),
+        Check("PLN-001", "error", "plan_id", given & line.isin("MA", "PDP") & plan.isNull(), "no Medicare plan id"),
+        Check("PLN-002", "error", "plan_id", given & (line == "ACA") & ~identifiers.is_marketplace_plan(F.col("plan_id")), "no marketplace plan id"),
+        Check("PLN-003", "error", "plan_id", line.isin("MA", "PDP") & (line != F.when(plan["kind"] == "drug", "PDP").otherwise("MA")) & plan.isNotNull(), "plan id of another line of business"),
+        Check("PLN-004", "error", "plan_id", given & (line == "MEDSUPP") & ~identifiers.is_medigap_letter(F.col("plan_id")), "no Medigap plan letter"),
+        Check("DAT-001", "error", "effective_date", _unreadable("effective_date"), "no date"),
+        Check("DAT-001", "error", "termination_date", _unreadable("termination_date"), "no date"),
         Check("DAT-002", "error", "termination_date", end < start, "ends before it starts"),
         Check("DAT-003", "error", "status", (status == "ACTIVE") & (end < as_of), "active after its end"),
-        Check("DAT-004", "info", "effective_date", F.dayofmonth(start) != 1, "does not start on the first"),
+        Check("DAT-004", "info", "effective_date", line.isin("MA", "PDP") & (F.dayofmonth(start) != 1), "does not start on the first"),
         Check("STA-001", "warning", "status", _given("status") & ~status.isin(*statuses), "unknown wording"),
     ]
+    if in_roster:
+        out.append(Check("NPN-002", "error", "writing_agent_npn", _given("writing_agent_npn") & producer & ~F.coalesce(F.col(in_roster), F.lit(False)), "agent not in the roster"))
+    return out
+
+
+def with_roster(policies: DataFrame, agents: DataFrame, name: str = "agent_in_roster") -> DataFrame:
+    """policies with a column that is true where the trimmed writing agent is one of the roster's. The house account's
+    rows do not meet in one task: the roster is broadcast if counted small, else the join is salted."""
+    roster = agents.where(_given("npn")).select(text.strip(F.col("npn")).alias("__npn")).distinct().withColumn(name, F.lit(True))
+    return lookup_join(policies.withColumn("__npn", text.strip(F.col("writing_agent_npn"))), roster, ["__npn"]).drop("__npn")
+
+
+def with_zip_states(rows: DataFrame, pairs: DataFrame, name: str = "zip_states") -> DataFrame:
+    """rows with the states of their ZIP prefix, null where pairs (zip3, state) do not list it."""
+    known = pairs.groupBy("zip3").agg(F.collect_set("state").alias(name))
+    return lookup_join(rows.withColumn("zip3", identifiers.zip3(F.col("zip"))), known, ["zip3"])
 
 
 def zip_state_mismatch(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """Rows whose ZIP prefix is known but not for their state. pairs (zip3, state) is a lookup of under 1,100 rows."""
-    known = pairs.groupBy("zip3").agg(F.collect_set("state").alias("states"))
-    return rows.withColumn("zip3", identifiers.zip3(F.col("zip"))).join(F.broadcast(known), "zip3").where(~F.array_contains("states", F.col("state")))
+    return with_zip_states(rows, pairs, "states").where("states is not null").where(~F.array_contains("states", F.col("state")))
 
 
 def severity_rollup(findings: DataFrame) -> DataFrame:

