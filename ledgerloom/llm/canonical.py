@@ -18,11 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.canon_aliases import ALIASES, COMPASS, TAILS
+from ledgerloom.runtime import bounded
 
 NONE = "(none)"
 #: What people write around a value: a lead-in, a remark, an aside.
 _ASIDES = re.compile(r"^\W*now\s*:|\s-\s*confirmed\W*$|,\s*see\s+crm\W*$|\(\s*per\s+app\s*\)\W*$|\bas\s+of\s+[\d/.-]+\W*$", re.I)
 _MEMO = 200_000
+#: A reference list with more entries than this is refused: its trie would not fit beside a worker's other work.
+LIST_ROWS = 200_000
 
 
 def key_of(text: str) -> str:
@@ -176,7 +179,7 @@ def _finder(entries: tuple) -> Callable[[str, str], tuple]:
     def find(field: str, typed: str) -> tuple:
         hit = memo.get((field, typed))
         if hit is None:
-            found = candidates(trie.get(field), typed) if len(typed) < 400 and len(key_of(typed)) <= longest else []
+            found = candidates(trie.get(field), typed) if len(key_of(typed)) <= longest else []
             hit = (found[0][2], found[0][0], len(found)) if found else (NONE, None, 0)
             if len(memo) < _MEMO:
                 memo[field, typed] = hit
@@ -194,7 +197,8 @@ def map_values(df: DataFrame, canon: DataFrame, key: str, fields: list[str]) ->
     The reference list is fixed and small; it is read to the driver and sent with the task. Repeated
     rows each give their cells. Empty or blank text, and texts longer than any alias can reach, give '(none)'.
     """
-    entries = [tuple(r) for r in canon.select("canon_id", "field_name", "canon_code", "label").where("canon_code is not null").collect()]
+    listed = canon.select("canon_id", "field_name", "canon_code", "label").where("canon_code is not null and field_name is not null")
+    entries = [tuple(r) for r in bounded(listed, LIST_ROWS, "reference list")]
     codes: dict[str, list[str]] = {}
     for _, f, c, _ in entries:
         codes.setdefault(f, []).append(c)
