@@ -16,7 +16,7 @@ def encode(text: str) -> np.ndarray:
 
 
 def _sigmoid(x):
-    return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
+    return np.float32(0.5) * np.tanh(np.float32(0.5) * x) + np.float32(0.5)  # tanh does not overflow and is vectorised
 
 
 class Tagger:
@@ -161,7 +161,7 @@ class Tagger:
                 say(step, loss)
 
     # decoding -----------------------------------------------------------------------------------------
-    def best_paths(self, texts: list[str], batch: int = 256) -> list[np.ndarray]:
+    def best_paths(self, texts: list[str], batch: int = 512) -> list[np.ndarray]:
         """The best tag of every character of each text. Windows overlap; a character's scores come from the
         window in which it stands farthest from an edge, and one path is sought over the whole text."""
         K = len(self.p["bo"])
@@ -200,12 +200,14 @@ class Tagger:
         pad = np.zeros((T, B, K), np.float32)
         for b, x in enumerate(em):
             pad[: len(x), b] = x
-        back = np.zeros((T, B, K), np.int16)
+        back = np.zeros((T, B, K), np.int8)
+        At = np.ascontiguousarray(A.T)[None]  # to, from
         v = pad[0] + self.p["s"]
         for t in range(1, T):
-            cand = v[:, :, None] + A[None]
-            back[t] = cand.argmax(1)
-            v = np.where((t < lengths)[:, None], cand.max(1) + pad[t], v)
+            cand = v[:, None, :] + At
+            best = cand.argmax(2)
+            back[t] = best
+            v = np.where((t < lengths)[:, None], np.take_along_axis(cand, best[:, :, None], 2)[:, :, 0] + pad[t], v)
         tag = (v + self.p["e"]).argmax(1)
         out = np.zeros((T, B), np.int64)
         for t in range(T - 1, -1, -1):

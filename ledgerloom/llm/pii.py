@@ -40,6 +40,7 @@ def model() -> Tagger:
 # token edges, if it holds what its kind needs.
 _EMAIL = re.compile(r"[\w.+-]+(?:@|\s*\(at\)\s*|\s*\[at\]\s*|\s+at\s+|\s+arroba\s+)[\w-]+(?:(?:\.|\s+dot\s+|\s+punto\s+|\s*\(dot\)\s*)[\w-]+)+", re.I)
 _PHONE = re.compile(r"(?<![\w-])(?:\+?1[-.\s]?)?(?:\(\d{3}\)\s?|\d{3}[-./\s]?)?\d{3}[-.\s]?\d{4}(?:\s?(?:x|ext(?:ension|n)?\.?)\s?\d{1,5})?(?![\w-]*\d)", re.I)
+_ABROAD = re.compile(r"(?<![\w-])(?:\+|00|011[ -])\d{1,3}(?:[-. ]?\(?\d{1,5}\)?){2,5}(?:\s?(?:x|ext(?:ension|n)?\.?)\s?\d{1,5})?(?![\w-]*\d)", re.I)
 _IDNUM = re.compile(r"(?<![\w-])(?:\d{3}[-. ]?\d{2}[-. ]?\d{4}|\d[a-z]{2}\d-?[a-z][a-z0-9]\d-?[a-z]{2}\d{2}|[a-z]\d{3}-\d{4}-\d{4}|[a-z]\d{8})(?![\w-])", re.I)
 _WORD = r"[^\W\d_][\w'’-]*\.?"
 _TITLES = re.compile(r"^(?:(?:dr|mrs?|ms|miss|sra?|srta|don|doña)\b\.?\s*)+", re.I)
@@ -47,10 +48,14 @@ _STATE_ZIP = r"(?:\s*,)?\s+(?:A[KLRZ]|C[AOT]|D[CE]|FL|GA|HI|I[ADLN]|K[SY]|LA|M[A
 _TAIL = re.compile(_STATE_ZIP)
 
 
+#: An email address has at most 254 characters; no number is longer.
+REACH = 320
+
+
 def _overlap(text: str, rx: re.Pattern, a: int, b: int) -> tuple[int, int] | None:
-    """The match of rx that shares most characters with text[a:b]."""
+    """The match of rx that shares most characters with text[a:b]. No match begins or ends farther off than REACH."""
     best, size = None, 0
-    for m in rx.finditer(text, max(0, a - 60), min(len(text), b + 60)):
+    for m in rx.finditer(text, max(0, a - REACH), min(len(text), b + REACH)):
         common = min(b, m.end()) - max(a, m.start())
         if common > size:
             best, size = (m.start(), m.end()), common
@@ -82,7 +87,10 @@ def settle(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
     if kind == "email":
         return _overlap(text, _EMAIL, a, b) or _unlisted(text, a, b, kind)
     if kind == "phone":
-        return _overlap(text, _PHONE, a, b) or _unlisted(text, a, b, kind)
+        here, abroad = _overlap(text, _PHONE, a, b), _overlap(text, _ABROAD, a, b)
+        if here and abroad:  # a number from abroad may hold what looks like a local one
+            return max(here, abroad, key=lambda e: e[1] - e[0])
+        return here or abroad or _unlisted(text, a, b, kind)
     if kind == "id_number":
         return _overlap(text, _IDNUM, a, b) or _unlisted(text, a, b, kind)
     while a > 0 and re.match(r"[\w]", text[a]) and re.match(r"[\w'’]", text[a - 1]):
@@ -159,9 +167,7 @@ def find(rows: DataFrame, key: str = "rec_id", column: str = "notes") -> DataFra
 
     # not deterministic to the planner, or it would run the model once more to see whether there are spans
     udf = F.pandas_udf(tag, f"spans {SPANS}, redacted string").asNondeterministic()
-    src = rows.select(key, column).where(F.col(column).isNotNull())
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return src.repartition(parts, key).withColumn("r", udf(column)).select(key, column, "r.*")
+    return rows.select(key, column).where(F.col(column).isNotNull()).withColumn("r", udf(column)).select(key, column, "r.*")
 
 
 def mentions(rows: DataFrame, key: str = "rec_id", column: str = "notes") -> DataFrame:

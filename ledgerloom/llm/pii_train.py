@@ -1,12 +1,16 @@
-"""Train the span finder: python -m ledgerloom.llm.pii_train --data DIR [--notes N] [--epochs N]
+"""Train the span finder: python -m ledgerloom.llm.pii_train --data DIR [--notes N] [--epochs N] [--resume]
 
 Names, streets and towns that fill the sentences come from DIR/clients.parquet (at most 20,000 rows, the
-bound on what training reads); the weights go to pii_weights.npz in this folder.
+bound on what training reads), everyday words from whole words of public vocabularies; the weights go to pii_weights.npz in
+this folder. --resume starts from the weights that stand there.
 """
 
 from __future__ import annotations
 
 import argparse
+import base64
+import io
+import pkgutil
 import sys
 import time
 from pathlib import Path
@@ -18,6 +22,7 @@ from ledgerloom.llm.address_parts import parse
 from ledgerloom.llm.bilstm_crf import Tagger, encode
 from ledgerloom.llm.pii import TAGS, tags_of
 from ledgerloom.llm.pii_corpus import notes
+from ledgerloom.llm.tokens import VOCABULARY
 
 ROWS = 20_000
 
@@ -31,6 +36,16 @@ def fillers(data: str) -> tuple[list[str], list[str], list[str], list[str]]:
     return firsts, lasts, streets, sorted({a.town for a in parsed if a.town})
 
 
+def everyday(paths: list[str]) -> list[str]:
+    """Small-letter words of three letters or more that are one token, space before, in a byte-pair vocabulary."""
+    out: set[str] = set()
+    for path in paths:
+        with open(path, "rb") as f:
+            tokens = (base64.b64decode(line.split()[0]) for line in f if line.strip())
+            out |= {t[1:].decode() for t in tokens if t[:1] == b" " and t[1:].isalpha() and t[1:].islower() and 3 <= len(t) - 1 <= 14}
+    return sorted(out)
+
+
 def batches(examples, size: int, epochs: int, seed: int = 5):
     g = np.random.default_rng(seed)
     total, done = epochs * (len(examples) // size), 0
@@ -54,10 +69,17 @@ def main() -> None:
     ap.add_argument("--notes", type=int, default=16_000)
     ap.add_argument("--epochs", type=int, default=3)
     ap.add_argument("--hidden", type=int, default=48)
+    ap.add_argument("--rate", type=float, default=0.004)
+    ap.add_argument("--seed", type=int, default=1)
+    ap.add_argument("--resume", action="store_true")
+    ap.add_argument("--vocabulary", nargs="*", default=[VOCABULARY, VOCABULARY.replace("byte_bpe_50k", "byte_bpe_multi_50k")])
     args = ap.parse_args()
-    examples = [(t[:400], [s for s in sp if s[1] <= 400]) for t, sp in notes(args.notes, *fillers(args.data))]
+    examples = list(notes(args.notes, *fillers(args.data), seed=args.seed, words=everyday(args.vocabulary)))
     model, start = Tagger.new(len(TAGS), hidden=args.hidden), time.time()
-    model.train(batches(examples, 64, args.epochs), say=lambda n, loss: n % 50 == 0 and print(n, round(loss, 3), f"{time.time() - start:.0f} s", file=sys.stderr, flush=True))
+    if args.resume:
+        with np.load(io.BytesIO(pkgutil.get_data("ledgerloom.llm", "pii_weights.npz"))) as z:
+            model = Tagger({k: z[k].astype(np.float32) for k in z.files})
+    model.train(batches(examples, 64, args.epochs), rate=args.rate, say=lambda n, loss: n % 50 == 0 and print(n, round(loss, 3), f"{time.time() - start:.0f} s", file=sys.stderr, flush=True))
     np.savez_compressed(Path(__file__).with_name("pii_weights.npz"), **{k: v.astype(np.float16) for k, v in model.p.items()})
 
 
