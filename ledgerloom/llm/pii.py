@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.bilstm_crf import Tagger
-from ledgerloom.llm.pii_corpus import KINDS
+from ledgerloom.llm.pii_corpus import AFTER_PERSON, AFTER_VALUE, BEFORE_PERSON, BEFORE_VALUE, KIN, KINDS, LABELS, WORDS
 
 TAGS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
 SPANS = "array<struct<span_start:bigint,span_end:bigint,pii_kind:string>>"
@@ -82,8 +82,43 @@ def _unlisted(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
     return (a, b) if _LIKE[kind].fullmatch(text, a, b) else None
 
 
+#: What a number is called that is no mention: it belongs to a policy, a plan, a case or an order.
+_OTHER = re.compile(r"\b(?:polic(?:y|ies)|p[oó]liza|plan|contract|case|caso|ref(?:erence)?|conf(?:irmation)?|claim|order|npn|agent|agente|ticket|group|form|batch|invoice|acct|tracking|check|member id|zip|since|room|page)\W{0,3}(?:no|nr|num|number|npn|id)?\W{0,3}(?:[a-z]{1,3}-?)?$", re.I)
+
+
+_EVERYDAY = {w for x in (*WORDS, *KIN, *AFTER_PERSON, *AFTER_VALUE, *BEFORE_PERSON, *(v for vs in BEFORE_VALUE.values() for v in vs), *LABELS.values()) for w in re.findall(r"[a-z]{3,}", x)}
+_SMALL_WORD = re.compile(r"[a-záéíóúñü]+")
+_IN_ADDRESS = {"apt", "unit", "ste", "suite", "lot", "rm", "box", "de", "la", "las", "los", "del", "of", "the", "floor", "bldg", "no", "st", "nd", "rd", "th"}
+_STREET_ENDS = re.compile(r"\b(?:street|avenue|court|lane|road|drive|place|circle|boulevard|parkway|terrace|highway|trail|[A-Z]{2})(?=\.\s)", re.I)
+
+
+def _without_everyday(text: str, a: int, b: int) -> tuple[int, int]:
+    """The span without small-letter everyday words, and what stands around them, at its ends."""
+    words = [(m.start(), m.end()) for m in re.finditer(r"[\w'’.-]+", text[a:b])]
+    plain = lambda w: bool(_SMALL_WORD.fullmatch(t := text[a + w[0] : a + w[1]])) and t in _EVERYDAY
+    while words and plain(words[-1]):
+        words.pop()
+    while words and plain(words[0]):
+        words.pop(0)
+    return (a + words[0][0], a + words[-1][1]) if words else (a, a)
+
+
+def _address_end(text: str, a: int, b: int) -> int:
+    """Where an address ends: before the first word in small letters that belongs to none, or where a sentence does."""
+    s = text[a:b]
+    if m := _STREET_ENDS.search(s):
+        s = s[: m.end()]
+    if re.search(r"[A-Z]", s):
+        for m in re.finditer(r"[,;]?\s+([a-z]{2,})\b", s):
+            if m[1] not in _IN_ADDRESS and re.search(r"[A-Z]", s[: m.start()]):
+                return a + m.start()
+    return a + len(s)
+
+
 def settle(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
     """The span's exact edges, or None if nothing of its kind is there."""
+    if kind != "person_name" and kind != "email" and _OTHER.search(text, max(0, a - 40), a):
+        return None
     if kind == "email":
         return _overlap(text, _EMAIL, a, b) or _unlisted(text, a, b, kind)
     if kind == "phone":
@@ -106,11 +141,13 @@ def settle(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
             b -= 1
         while a < b and not re.match(r"\w", text[a]):
             a += 1
+        a, b = _without_everyday(text, a, b)
         return (a, b) if re.search(r"[^\W\d_]{2}", text[a:b]) else None
     if not re.search(r"\d", s):
         return None
     first = re.search(r"\d|\b(?:p\.?\s?o\.?|post|box)\b", s, re.I)
     a += first.start() if first else 0
+    b = _address_end(text, a, b)
     b = a + len(text[a:b].rstrip(" .,;:-/&(!\n\t"))
     if m := _TAIL.match(text, b):  # a state and ZIP code that follow belong to it
         b = m.end()

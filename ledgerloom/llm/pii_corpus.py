@@ -23,8 +23,8 @@ LABELS = {
          "nombre|contacto|beneficiario|hija|hijo|madre|padre|hermano|hermana|vecina",
 }
 SEPARATORS = (": ", ": ", " ", " ", " - ", " = ", " is ", " was ", " es ", ":", " -> ", " > ", " (", "; ")
-BEFORE_PERSON = "called|met|emailed|texted|visited|saw|phoned|reached|told|asked|thanked|reminded|with|for|from|to|by|via|about|and|per|says|cc|copied|married|replaced|helping|care of|signed by|sent by|payment from|gift for|llame a|con|para|de parte de|hable con|segun|habla".split("|")
-AFTER_PERSON = ("called|phoned|wrote|said no|said yes|agreed|signed|declined|moved|is away|is retired|is the executor|was rude|will pay|will decide|wants a quote|has questions|has moved|asked why|needs help|needs a ride|came by|left early|lives next door|"
+BEFORE_PERSON = "ask|ask for|w/|spoke to|talk to|talked with|lives with|wait for|called|met|emailed|texted|visited|saw|phoned|reached|told|asked|thanked|reminded|with|for|from|to|by|via|about|and|per|says|cc|copied|married|replaced|helping|care of|signed by|sent by|payment from|gift for|llame a|con|para|de parte de|hable con|segun|habla".split("|")
+AFTER_PERSON = ("co-signed|takes calls|answers it|called|phoned|wrote|said no|said yes|agreed|signed|declined|moved|is away|is retired|is the executor|was rude|will pay|will decide|wants a quote|has questions|has moved|asked why|needs help|needs a ride|came by|left early|lives next door|"
                 "picks up|pays the bill|speaks Spanish|is hard of hearing|got married|turned 65|can sign|forgot|cannot drive|works nights|llamo ayer|quiere cambiar|no contesta|firmo|vive sola|paga todo").split("|")
 BEFORE_VALUE = {
     "p": "dial|ring|try|use|text|reach me on|leave a message on|she picks up|get him on|wrong number was|disconnected:|new line|ask at|marque|numero nuevo|contesta en|forwarded to|returned call from|missed call".split("|"),
@@ -45,14 +45,14 @@ WORDS = ("the a an this that our your his her their new old other next last firs
 #: {D} a date, {K} a carrier or company, {T} something that only looks like a mention.
 SENTENCES = """
 Left two messages this week and heard nothing.|Quoted three drug plans, he picks one by Friday.|Not interested until the fall.|Hearing aids are what she cares about.|Dental was the deciding factor.|Doctor dropped out of the {K} network.
-Applied for help with drug costs.|Card arrived damaged, ordered another.|Autopay failed, card expired.|Client prefers evenings.|Do not call at work.|Bad line, could hardly hear.|Wants everything by post.|Reviewed the summary of benefits together.
+Applied for help with drug costs.|Card arrived damaged, ordered another.|Autopay failed, card expired.|Evenings suit this client.|Do not call at work.|Bad line, could hardly hear.|Wants everything by post.|Reviewed the summary of benefits together.
 Medication list updated {D}.|Application accepted by {K}.|{K} asks for a signature on page two.|Waiting on {K} to post the payment.|Switched from {K} to {K} on {D}.|{K} denied the appeal.|Sent the kit through {K}, {T}.|Complaint filed with {K}, {T}.
 Keep an eye on the rate increase.|Voicemail is full.|Gate code changed, park in the back.|Needs an interpreter for the meeting.|Birthday in {D}, send a card.|Snowbird, gone from November through March.|Rents out the lower floor.|New roof, asks about home insurance.
 Tier exception granted, good through {D}.|Met at the {T} booth.|Came to the workshop at {T}.|Has a pension from {K}.|Retires {D}.|Turns sixty-five in {D}.|Lost coverage {D}, special period applies.|Paid {T} by check.|Copay went up to {T}.|{T} closed, {T} open.
 Nothing new.|Same plan again.|All good here.|Asked for a manager.|Documents scanned and filed.|Signature missing, mailed back {D}.|Quick chat, will think it over.|Returned mail, see above.|Duplicate entry merged.|Please verify before closing.|Two policies, one household.
 No quiere cambiar nada.|Pidio una cita para la tarde.|Entregamos los papeles el {D}.|Falta la firma.|Prefiere hablar en persona.|La prima subio {T}.|Cliente satisfecha con {K}.|Ya tiene cobertura con {K}.|Vuelve en {D}.|Revisamos los beneficios juntos.|Esperando respuesta de {K}.
-{n} asked us to stop calling.|{n} takes care of the paperwork.|Meeting with {n} on {D}.|We need a form from {n}.|{f} forgot the password again.|{f} is home after surgery.|Saw {f} and {f} at the fair.|My call with {n} was cut off.|The caller, {n}, would not give a date of birth.
-{n} has power of attorney since {D}.|Authorized to talk: {n}.|Policy was written by {n}, now retired.|Try {f} first, then {n}.|{f} will bring the checks.|Neighbor {n} waters the plants and gets the mail.|Her son {f} drives her.|Talked it over with {f}.|{n} (daughter) lives out of state.
+{n} asked us to stop calling.|{n} does all the forms.|Meeting with {n} on {D}.|We need a form from {n}.|{f} forgot the password again.|{f} is home after surgery.|Saw {f} and {f} at the fair.|My call with {n} was cut off.|The caller, {n}, would not give a date of birth.
+{n} has power of attorney since {D}.|Authorized to talk: {n}.|Policy was written by {n}, now retired.|Try {f} first, then {n}.|{f} will bring the checks.|Neighbor {n} waters the plants and gets the mail.|Her son {f} drives her.|Talked it over with {f}.|{n} (daughter) lives abroad.
 Dr. {l} prescribes the insulin.|Appointment with Dr. {l} moved to {D}.|Mr. {l} hung up.|Mrs. {l} would like a paper copy.|Ms. {l} at {K} confirmed it.|Thank {f} for the referral.|Refund goes to {n}, {a}.|Estate of {n}, contact {n}.|Premium paid by {n} since {D}.
 Number on the account is {p}.|Fax the letter to {p}.|{p} rings and rings.|Best reached under {p} after lunch.|Use {p} instead of {p}.|He gave {p} as a second number.|{f} can be reached at {p}.|Her new line: {p}.|Sister at {p}.|Bank wants a call: {p}.
 Confirmation goes to {e}.|{e} is no longer in use.|Please invite {e} to the portal.|Typo in the email, should be {e}.|{n}, {e}, {p}.|He reads {e} once a week.|Emailed the quote to {e} on {D}.|Two logins: {e} and {e}.
