@@ -1,14 +1,18 @@
 """Edit scripts between schema trees.
 
 A schema is a tree: file, columns, and below a column what it holds. Siblings have no order of
-their own (place does not count), so children are paired by a minimum-cost assignment; a node may
-also be dropped from, or put into, a path, with its only heir taking its place. Deleting or adding a
-node costs 1; renaming costs what the caller's function says.
+their own (place does not count). A script maps nodes to nodes so that ancestors stay ancestors; what is
+not mapped is deleted or added, at a cost of 1 a node, and its children go to its parent or come from it.
+Renaming costs what the caller's function says. The script found costs least: for every pair of mapped
+nodes, ever more inner nodes below them are taken out on either side, as long as that can still pay, and
+what then stands directly below is paired by a minimum-cost assignment. Schemas drift by few steps, so
+few such sets are looked at; flat files need one assignment. A subtree that is deleted in one place and
+added in another as it was is one move, at a cost of 1.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -60,80 +64,135 @@ def assignment(cost: list[list[float]]) -> list[int]:
 Op = tuple[str, Node | None, Node | None]
 
 
-def edit_script(a: Node, b: Node, relabel: Callable[[Node, Node], float]) -> tuple[float, list[Op]]:
-    """(cost, operations) that turn tree a into tree b at least cost.
+def _frontiers(nodes: list[Node], n: int) -> Iterator[tuple[list[Node], list[Node]]]:
+    """(nodes that then stand on top, nodes taken out) for each way to take out n inner nodes from the top down."""
+    if n == 0:
+        yield nodes, []
+        return
+    for i, head in enumerate(nodes):
+        if head.children:  # head is the first that goes
+            for j in range(n):
+                for below, out in _frontiers(head.children, j):
+                    for after, more in _frontiers(nodes[i + 1 :], n - 1 - j):
+                        yield nodes[:i] + below + after, [head, *out, *more]
+
+
+def _signature(n: Node):
+    return n.label, tuple(sorted(map(_signature, n.children), key=repr))
+
+
+def _all(n: Node) -> Iterator[Node]:
+    yield n
+    for c in n.children:
+        yield from _all(c)
+
+
+def edit_script(a: Node, b: Node, relabel: Callable[[Node, Node], float], together: bool = False) -> tuple[float, list[Op]]:
+    """(cost, operations) that turn tree a into tree b at least cost; the roots are mapped to each other.
 
     Operations are ("keep" | "rename" | "move", old, new), ("delete", old, None) and ("add", None, new).
     relabel(old, new) is 0 for the same node; a cost of 2 or more is never better than delete and add.
+    With together, siblings of one label are mapped to each other whatever else would cost.
     """
     memo: dict[tuple[int, int], tuple[float, list[Op]]] = {}
 
     def gone(n: Node) -> list[Op]:
-        return [("delete", n, None)] + [op for c in n.children for op in gone(c)]
+        return [("delete", x, None) for x in _all(n)]
 
     def new(n: Node) -> list[Op]:
-        return [("add", None, n)] + [op for c in n.children for op in new(c)]
-
-    def forest(xs: list[Node], ys: list[Node]) -> tuple[float, list[Op]]:
-        total, ops = 0.0, []
-        open_x, open_y = list(xs), []
-        by_label: dict[str, list[Node]] = {}
-        for x in xs:
-            by_label.setdefault(x.label, []).append(x)
-        for y in ys:  # nodes of one label belong together; only the rest is assigned
-            same = by_label.get(y.label)
-            if same:
-                x = same.pop(0)
-                open_x = [z for z in open_x if z is not x]
-                c, o = tree(x, y)
-                total, ops = total + c, ops + o
-            else:
-                open_y.append(y)
+        return [("add", None, x) for x in _all(n)]
+
+    def paired(xs: list[Node], ys: list[Node]) -> tuple[float, list[Op]]:
+        """Nodes that stand side by side: a minimum-cost assignment, the rest deleted or added as a whole."""
+        total, ops, open_x, open_y = 0.0, [], list(xs), list(ys)
+        if together:
+            by_label: dict[str, list[Node]] = {}
+            for x in xs:
+                by_label.setdefault(x.label, []).append(x)
+            open_y, taken = [], set()
+            for y in ys:
+                if same := by_label.get(y.label):
+                    x = same.pop(0)
+                    taken.add(id(x))
+                    c, o = mapped(x, y)
+                    total, ops = total + c, ops + o
+                else:
+                    open_y.append(y)
+            open_x = [x for x in xs if id(x) not in taken]
         n, m = len(open_x), len(open_y)
+        where = list(range(n + m))
         if n and m:
-            size = n + m
-            cost = [[0.0] * size for _ in range(size)]
-            for i in range(size):
-                for j in range(size):
+            cost = [[0.0] * (n + m) for _ in range(n + m)]
+            for i in range(n + m):
+                for j in range(n + m):
                     if i < n and j < m:
-                        cost[i][j] = tree(open_x[i], open_y[j])[0]
+                        cost[i][j] = mapped(open_x[i], open_y[j])[0]
                     elif i < n:
                         cost[i][j] = open_x[i].weight() if j - m == i else INF
                     elif j < m:
                         cost[i][j] = open_y[j].weight() if i - n == j else INF
-            for i, j in enumerate(assignment(cost)):
-                if i < n and j < m:
-                    c, o = tree(open_x[i], open_y[j])
-                    total, ops = total + c, ops + o
-                elif i < n:
-                    total, ops = total + open_x[i].weight(), ops + gone(open_x[i])
-                elif j < m:
-                    total, ops = total + open_y[j].weight(), ops + new(open_y[j])
+            where = assignment(cost)
         else:
-            for x in open_x:
-                total, ops = total + x.weight(), ops + gone(x)
-            for y in open_y:
-                total, ops = total + y.weight(), ops + new(y)
+            where = [m + i for i in range(n)] + list(range(m))
+        for i, j in enumerate(where):
+            if i < n and j < m:
+                c, o = mapped(open_x[i], open_y[j])
+            elif i < n:
+                c, o = open_x[i].weight(), gone(open_x[i])
+            elif j < m:
+                c, o = open_y[j].weight(), new(open_y[j])
+            else:
+                continue
+            total, ops = total + c, ops + o
         return total, ops
 
-    def tree(x: Node, y: Node) -> tuple[float, list[Op]]:
-        key = (id(x), id(y))
-        if key in memo:
-            return memo[key]
-        c = relabel(x, y)
-        kind = "rename" if x.label != y.label else "move" if x.place != y.place else "keep"
-        fc, fo = forest(x.children, y.children)
-        best = (c + fc, [(kind, x, y)] + fo)
-        all_x, all_y = x.weight(), y.weight()
-        for h in x.children:  # x leaves the path, h takes its place; what leaves with x alone may cost too much
-            if (loss := all_x - h.weight()) < best[0] and (cost := loss + tree(h, y)[0]) < best[0]:
-                best = (cost, [("delete", x, None)] + [op for z in x.children if z is not h for op in gone(z)] + tree(h, y)[1])
-        for h in y.children:
-            if (loss := all_y - h.weight()) < best[0] and (cost := loss + tree(x, h)[0]) < best[0]:
-                best = (cost, [("add", None, y)] + [op for z in y.children if z is not h for op in new(z)] + tree(x, h)[1])
-        if (cost := x.weight() + y.weight()) < best[0]:
-            best = (cost, gone(x) + new(y))
-        memo[key] = best
+    def forest(xs: list[Node], ys: list[Node]) -> tuple[float, list[Op]]:
+        best = paired(xs, ys)
+        inner = sum(1 for n in (*xs, *ys) for z in _all(n) if z.children)
+        for k in range(1, inner + 1):
+            if k >= best[0]:  # taking out k nodes costs k already
+                break
+            for i in range(k + 1):
+                for left, out in _frontiers(xs, i):
+                    for right, put in _frontiers(ys, k - i):
+                        if k + abs(sum(x.weight() for x in left) - sum(y.weight() for y in right)) >= best[0]:
+                            continue  # as many nodes at least must go or come besides
+                        c, o = paired(left, right)
+                        if k + c < best[0]:
+                            best = (k + c, [("delete", x, None) for x in out] + [("add", None, y) for y in put] + o)
         return best
 
-    return tree(a, b)
+    def mapped(x: Node, y: Node) -> tuple[float, list[Op]]:
+        key = (id(x), id(y))
+        if key not in memo:
+            kind = "rename" if x.label != y.label else "move" if x.place != y.place else "keep"
+            c, o = forest(x.children, y.children) if x.children or y.children else (0.0, [])
+            memo[key] = (relabel(x, y) + c, [(kind, x, y)] + o)
+        return memo[key]
+
+    return _with_moves(*mapped(a, b))
+
+
+def _with_moves(cost: float, ops: list[Op]) -> tuple[float, list[Op]]:
+    """The script with each subtree that goes in one place and comes in another as it was as one move, largest first."""
+    left = {id(x): x for k, x, _ in ops if k == "delete"}
+    came = {id(y): y for k, _, y in ops if k == "add"}
+    whole = lambda n, side: all(id(z) in side for z in _all(n))
+    targets: dict = {}
+    for y in came.values():
+        if whole(y, came):
+            targets.setdefault(_signature(y), []).append(y)
+    moves: list[Op] = []
+    for x in sorted(left.values(), key=lambda x: -x.weight()) if targets else ():
+        if whole(x, left):
+            y = next((y for y in targets.get(_signature(x), ()) if whole(y, came)), None)
+            if y is not None:
+                moves.append(("move", x, y))
+                cost -= x.weight() + y.weight() - 1
+                for z in _all(x):
+                    del left[id(z)]
+                for z in _all(y):
+                    del came[id(z)]
+    if not moves:
+        return cost, ops
+    return cost, [o for o in ops if o[0] not in ("delete", "add") or id(o[1] or o[2]) in (left if o[0] == "delete" else came)] + moves

@@ -18,84 +18,61 @@ from difflib import SequenceMatcher
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.treedist import Node, edit_script
-from ledgerloom.runtime import durable, lookup_join
+from ledgerloom.functions.dates import parse_date_loose
+from ledgerloom.runtime import bounded, durable, lookup_join
 
-# Samples that say nothing, flag words, and wordings of columns that no canonical field
-# covers; what is not listed is judged by spelling, samples and place, and by what is learnt from the files.
+# Samples that say nothing, and flag words.
 FILLERS = {"", "-", "--", "n/a", "na", "none", "null", "nil", "?", "???", "tbd", "."}
 FLAGS = {"y", "n", "yes", "no", "true", "false", "t", "f", "si", "sí"}
-OTHER_COLUMNS = (
-    {"smoker", "tobacco", "tobacco use", "smoker status"},
-    {"lead src", "lead source", "lead origin", "how found"},
-    {"last contacted", "last touch", "prev contact", "last contact"},
-    {"hh count", "household size", "persons", "family size"},
-    {"split", "split rate", "share pct", "split pct"},
-    {"months paid", "mths", "months"},
-    {"override", "ovr", "is override"},
-    {"e o premium", "e o cost"},
-    {"tax form id", "taxpayer ref"},
-    {"late penalty", "lep", "lep amount"},
-    {"lis", "lis yn", "low income"},
-    {"submit dt", "submitted on", "recvd"},
-    {"desk", "region desk"},
-    {"notes", "remarks", "comments"},
-)
 _MONTH = r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*"
-_DATE = re.compile(
-    rf"^(?:\d{{4}}[-/.]\d{{1,2}}[-/.]\d{{1,2}}(?:[T ].*)?|\d{{1,2}}[-/.]\d{{1,2}}[-/.](?:\d{{2}}|\d{{4}})|\d{{1,2}}[- ]{_MONTH}[- ,]+(?:\d{{2}}|\d{{4}})|{_MONTH} \d{{1,2}},? \d{{4}})$",
-    re.I,
+_DATE = (
+    rf"(?i)^(?:\d{{4}}[-/.]\d{{1,2}}[-/.]\d{{1,2}}(?:[T ].*)?|\d{{1,2}}[-/.]\d{{1,2}}[-/.](?:\d{{2}}|\d{{4}})|\d{{1,2}}[- ]{_MONTH}[- ,]+(?:\d{{2}}|\d{{4}})|{_MONTH} \d{{1,2}},? \d{{4}})$"
 )
-_WHOLE = re.compile(r"^[(+-]?\$?\s*(?:\d{1,3}(?:,\d{3})+|\d+)\)?-?$")
-_DECIMAL = re.compile(r"^[(+-]?\$?\s*[(+-]?(?:\d{1,3}(?:,\d{3})+|\d*)\.\d+\)?\s*%?-?$")
+_WHOLE = r"^[(+-]?\$?\s*(?:\d{1,3}(?:,\d{3})+|\d+)\)?-?$"
+_DECIMAL = r"^[(+-]?\$?\s*[(+-]?(?:\d{1,3}(?:,\d{3})+|\d*)\.\d+\)?\s*%?-?$"
+KINDS = ("whole", "decimal", "date", "flag", "text")
 
 RENAME_FROM = 0.6
+#: Canonical fields; a list with more is refused, since each is a column.
+FIELDS = 2_000
 
 
 def norm_header(h: str) -> str:
     return re.sub(r"\s+", " ", h or "").strip().lower()
 
 
-def sample_kind(v: str | None) -> str | None:
-    """whole, decimal, date, flag or text; None for fillers."""
-    s = (v or "").strip()
-    if s.lower() in FILLERS:
-        return None
-    if s.lower() in FLAGS:
-        return "flag"
-    if _WHOLE.match(s):
-        return "whole"
-    if _DECIMAL.match(s):
-        return "decimal"
-    return "date" if _DATE.match(s) else "text"
-
-
-def column_kind(samples) -> str | None:
-    """The kind of more than half of the samples that are no fillers, else None."""
-    kinds = [k for k in map(sample_kind, samples if samples is not None else ()) if k]
-    if not kinds:
-        return None
-    kind, n = Counter(kinds).most_common(1)[0]
-    return kind if 2 * n > len(kinds) else None
-
-
-def _shapes(samples) -> set[str]:
-    out = set()
-    for v in samples if samples is not None else ():
-        if sample_kind(v):
-            s = re.sub(r"[a-z]+(?:-[a-z0-9]+)?", "a", re.sub(r"[A-Z](?=[a-z])", "", v.strip()))
-            out.add(re.sub(r"\d+", "9", re.sub(r"[A-Z]+", "A", s)))
-    return out
+def _trimmed(v: Column) -> Column:
+    return F.regexp_replace(v, r"^\s+|\s+$", "")
 
 
-def _words(h: str) -> str:
-    return re.sub(r"[^a-z0-9]+", " ", norm_header(h)).strip()
+def sample_kind(v: Column) -> Column:
+    """whole, decimal, date, flag or text; null for fillers and null."""
+    s = _trimmed(F.coalesce(v, F.lit("")))
+    low = F.lower(s)
+    return (
+        F.when(low.isin(*sorted(FILLERS)), F.lit(None).cast("string")).when(low.isin(*sorted(FLAGS)), "flag")
+        .when(s.rlike(_WHOLE), "whole").when(s.rlike(_DECIMAL), "decimal").when(s.rlike(_DATE), "date").otherwise("text")
+    )
+
+
+def column_kind(samples: Column) -> Column:
+    """The kind of more than half of the samples that are no fillers, else null."""
+    kinds = F.filter(F.transform(samples, sample_kind), lambda k: k.isNotNull())
+    return F.coalesce(*[F.when(2 * (F.size(kinds) - F.size(F.array_remove(kinds, k))) > F.size(kinds), F.lit(k)) for k in KINDS])
 
 
-_GROUP = {w: i for i, g in enumerate(OTHER_COLUMNS) for w in g}
+def sample_shapes(samples: Column) -> Column:
+    """The distinct builds of the samples that are no fillers: runs of letters as a or A, of digits as 9."""
+    one = lambda v: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(_trimmed(v), r"[A-Z](?=[a-z])", ""), r"[a-z]+(?:-[a-z0-9]+)?", "a"), r"[A-Z]+", "A"), r"\d+", "9")
+    return F.array_distinct(F.transform(F.filter(samples, lambda v: sample_kind(v).isNotNull()), one))
+
+
+def _words(h: str) -> str:
+    return re.sub(r"[^a-z0-9]+", " ", norm_header(h)).strip()
 
 
 def rename_score(a: dict, b: dict, learned: frozenset = frozenset()) -> float:
@@ -103,10 +80,7 @@ def rename_score(a: dict, b: dict, learned: frozenset = frozenset()) -> float:
     wordings, in order of letters, that replace each other in this kind of source."""
     known_a, known_b = a["concept"], b["concept"]
     wa, wb = _words(a["header"]), _words(b["header"])
-    ga, gb = _GROUP.get(wa), _GROUP.get(wb)
-    if ga is not None and gb is not None:
-        score = 0.7 if ga == gb else 0.0
-    elif known_a and known_b and "none" not in (known_a, known_b):
+    if known_a and known_b and "none" not in (known_a, known_b):
         score = 0.7 if known_a == known_b else 0.0
     else:
         lexical = max(SequenceMatcher(None, wa, wb).ratio(), _jaccard(wa, wb))
@@ -134,10 +108,7 @@ def _jaccard(x: str, y: str) -> float:
 def _tree(columns) -> Node:
     kids = []
     for c in sorted(columns, key=lambda c: (c["header_no"] if c["header_no"] is not None else 1 << 30)):
-        withheld = bool(c["samples_withheld"])
-        samples = [] if withheld or c["samples"] is None else list(c["samples"])
-        data = {"header": c["header"] or "", "proposed": c["proposed_field"], "concept": c["concept"], "kind": column_kind(samples),
-                "shapes": _shapes(samples), "no": c["header_no"]}
+        data = {"header": c["header"] or "", "proposed": c["proposed_field"], "concept": c["concept"], "kind": c["kind"], "shapes": set(c["shapes"]) if c["shapes"] is not None else set(), "no": c["header_no"]}
         kids.append(Node(norm_header(c["header"]), [], c["header_no"] or 0, data))
     return Node("", kids)
 
@@ -161,7 +132,7 @@ def diff_columns(old, new, learned: frozenset = frozenset()) -> list[tuple[str,
         return 2 * (1 - score) / (1 - RENAME_FROM) if score < RENAME_FROM else 1.99 * (1 - score) / (1 - RENAME_FROM)
 
     out = []
-    for kind, x, y in edit_script(a, b, relabel)[1]:
+    for kind, x, y in edit_script(a, b, relabel, together=True)[1]:
         if (x or y) in (a, b):
             continue
         if kind == "delete":
@@ -183,8 +154,12 @@ def review_items(review: DataFrame) -> DataFrame:
     """The columns of files, each item_id once (items without an id by file, place and header); rows without a file are
     left out."""
     key = F.coalesce(F.col("item_id"), F.concat_ws("|", F.lit("item"), F.col("file_id").cast("string"), F.col("header_no").cast("string"), "header"))
-    cols = ["file_id", "source", "received_at", "header_no", "header", "proposed_field", "samples", "samples_withheld"]
-    return review.where("file_id is not null").select(key.alias("__item"), *cols).dropDuplicates(["__item"]).drop("__item")
+    cols = ["file_id", "source", "received_at", "header_no", "header", "proposed_field"]
+    # samples are reduced to their kind and build in the scan, so they are not shuffled
+    shown = F.when(~F.coalesce("samples_withheld", F.lit(False)), F.col("samples"))
+    kind = F.coalesce(column_kind(shown), F.lit(None).cast("string"))
+    read = review.where("file_id is not null").select(key.alias("__item"), *cols, kind.alias("kind"), F.when(kind == "text", sample_shapes(shown)).alias("shapes"))
+    return read.dropDuplicates(["__item"]).drop("__item")
 
 
 def with_concepts(review: DataFrame) -> DataFrame:
@@ -205,7 +180,7 @@ def file_pairs(review: DataFrame, parts: int | None = None) -> DataFrame:
         items.groupBy("file_id").agg(
             F.min("source").alias("source"),
             F.min("received_at").alias("received_at"),
-            F.array_sort(F.collect_list(F.struct("header_no", "header", "proposed_field", "concept", "samples", "samples_withheld"))).alias("cols"),
+            F.array_sort(F.collect_list(F.struct("header_no", "header", "proposed_field", "concept", "kind", "shapes"))).alias("cols"),
         )
     )
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -330,6 +305,10 @@ def canonical_columns(review: DataFrame, found: DataFrame) -> DataFrame:
 def consistent_table(review: DataFrame, raw: DataFrame, found: DataFrame) -> DataFrame:
     """All raw rows in one table: a column per canonical field, everything else by name in other_columns.
 
+    A field has the narrowest type that holds what all its files bring: a day where all samples are dates, a decimal number
+    where numbers come with decimals in some, else text; whole numbers alone stay text, since they may be codes with
+    leading zeros. A cell that its column's type cannot hold is null there and kept in other_columns as "FIELD as written".
+
     A file that gives one field twice keeps the first by place; the later ones go to other_columns
     under their header. Cells beyond the headers are kept as column_N. Null cells stay null.
     """
@@ -340,16 +319,29 @@ def consistent_table(review: DataFrame, raw: DataFrame, found: DataFrame) -> Dat
     projection = named.groupBy("file_id").agg(
         F.min("source").alias("source"), F.map_from_entries(F.collect_list(F.struct(F.col("header_no").cast("int"), F.coalesce("column", F.concat(F.lit("column_"), F.col("header_no").cast("string")))))).alias("names")
     )
-    fields = sorted(r[0] for r in review.select(F.explode("allowed_fields")).distinct().collect() if r[0] and r[0] != "none")
-    rows = raw.select("raw_id", "file_id", "row_number", "cells").join(projection, "file_id", "left").withColumn(
+    fields = sorted(r[0] for r in bounded(review.select(F.explode("allowed_fields")).distinct(), FIELDS, "fields") if r[0] and r[0] != "none")
+    brought = with_concepts(review).where("kind is not null and concept is not null").groupBy("concept").agg(F.collect_set("kind").alias("kinds"))
+    kinds = {r["concept"]: set(r["kinds"]) for r in bounded(brought, FIELDS, "fields")}
+    rows = lookup_join(raw.select("raw_id", "file_id", "row_number", "cells"), projection, ["file_id"]).withColumn(
         "keys", F.transform(F.coalesce("cells", F.array().cast("array<string>")), lambda v, i: F.coalesce(F.col("names")[i + 1], F.concat(F.lit("column_"), (i + 1).cast("string"))))
     ).withColumn(
         "cell_map",  # a name that a file gives twice gets its place added
         F.map_from_entries(F.transform("keys", lambda k, i: F.struct(
             F.when(F.array_position("keys", k) == i + 1, k).otherwise(F.concat(k, F.lit(" at place "), (i + 1).cast("string"))), F.get("cells", i)))),
     )
-    return rows.select(
-        "raw_id", "file_id", "source", "row_number",
-        *[F.col("cell_map")[f].alias(f.replace(".", "__")) for f in fields],
-        F.map_filter("cell_map", lambda k, v: ~k.isin(fields)).alias("other_columns"),
-    )
+    typed, kept = {}, []
+    for f in fields:
+        cell, brings = F.col("cell_map")[f], kinds.get(f, set())
+        if brings == {"date"}:
+            typed[f] = parse_date_loose(cell)
+        elif "decimal" in brings and brings <= {"decimal", "whole"}:
+            bare = F.regexp_replace(cell, r"[$,\s]", "")
+            typed[f] = F.regexp_replace(bare, r"^\((.*)\)$", "-$1").try_cast("decimal(38,6)")
+        else:
+            typed[f] = cell
+            continue
+        kept.append(F.when((_trimmed(cell) != "") & typed[f].isNull(), F.struct(F.lit(f"{f} as written").alias("key"), cell.alias("value"))))
+    others = F.map_filter("cell_map", lambda k, v: ~k.isin(fields))
+    if kept:
+        others = F.map_concat(others, F.map_from_entries(F.filter(F.array(*kept), lambda e: e.isNotNull())))
+    return rows.select("raw_id", "file_id", "source", "row_number", *[typed[f].alias(f.replace(".", "__")) for f in fields], others.alias("other_columns"))

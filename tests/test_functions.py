@@ -134,11 +134,56 @@ def test_tree_edit_distance(a, b):
     assert sum(o[0] == "delete" for o in ops) + sum(o[0] == "rename" for o in ops) == len(set(a) - set(b))
 
 
+def brute_tree(a, b, price):
+    """Least cost over every mapping of nodes that keeps ancestors (roots mapped to each other), node by node."""
+    def walk(n, up=()):
+        yield n, up
+        for c in n.children:
+            yield from walk(c, (*up, id(n)))
+
+    xs, ys = list(walk(a))[1:], list(walk(b))[1:]
+
+    def go(i, used, pairs):
+        if i == len(xs):
+            return len(ys) - len(used)
+        x, ux = xs[i]
+        best = 1 + go(i + 1, used, pairs)
+        for j, (y, uy) in enumerate(ys):
+            if j not in used and all((id(p) in ux) == (id(q) in uy) and (id(x) in up_p) == (id(y) in up_q) for p, up_p, q, up_q in pairs):
+                best = min(best, price(x, y) + go(i + 1, used | {j}, [*pairs, (x, ux, y, uy)]))
+        return best
+
+    return price(a, b) + go(0, frozenset(), [])
+
+
+_trees = st.recursive(st.sampled_from("abc").map(lambda x: Node(x)), lambda kids: st.builds(lambda x, k: Node(x, k), st.sampled_from("abc"), st.lists(kids, min_size=1, max_size=2)), max_leaves=3)
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.lists(_trees, max_size=2), st.lists(_trees, max_size=2), st.sampled_from([0.5, 1.5]))
+def test_tree_edit_equals_brute_force(a, b, price):
+    """Trees up to depth four; the script's own cost, moves taken apart, is the least there is."""
+    def copy(n):  # shared nodes would be one node twice
+        return Node(n.label, [copy(c) for c in n.children])
+
+    x, y = copy(Node("r", a)), copy(Node("r", b))
+    charge = lambda p, q: 0.0 if p.label == q.label else price
+    cost, ops = edit_script(x, y, charge)
+    moved = sum(p.weight() + q.weight() - 1 for k, p, q in ops if k == "move")
+    assert abs(cost + moved - brute_tree(x, y, charge)) < 1e-9
+    assert abs(cost - sum(1 if k in ("delete", "add", "move") else charge(p, q) for k, p, q in ops)) < 1e-9
+
+
 def test_tree_edit_nested_and_assignment():
     a = Node("r", [Node("x", [Node("y"), Node("z")])])
     b = Node("r", [Node("x", [Node("z")])])
-    assert edit_script(a, b, lambda p, q: 0.0 if p.label == q.label else 2.0)[0] == 1
-    assert edit_script(a, Node("r", [Node("y")]), lambda p, q: 0.0 if p.label == q.label else 2.0)[0] == 2  # x and z go, y moves up
+    price = lambda p, q: 0.0 if p.label == q.label else 1.5
+    assert edit_script(a, b, price)[0] == 1
+    assert edit_script(a, Node("r", [Node("y")]), price)[0] == 2  # x and z go, y moves up
+    flat = edit_script(Node("r", [Node("s", [Node("a"), Node("b")]), Node("c")]), Node("r", [Node("a"), Node("b"), Node("c")]), price)
+    assert flat[0] == 1 and [(k, p.label) for k, p, _ in flat[1] if k == "delete"] == [("delete", "s")]
+    two = edit_script(Node("r", [Node("p", [Node("m", [Node("n")]), Node("q")]), Node("t", [Node("u")])]), Node("r", [Node("p", [Node("q")]), Node("t", [Node("u"), Node("m", [Node("n")])])]), price)
+    assert two[0] == 1 and [(k, p.label) for k, p, _ in two[1] if k == "move"] == [("move", "m")]
     assert assignment([[4, 1, 3], [2, 0, 5], [3, 2, 2]]) == [1, 0, 2]
 
 

@@ -166,7 +166,7 @@ def test_schema_changes(spark):
 
 
 def test_renames_beyond_the_list(spark):
-    """A listed wording may become one that is not listed; wordings that replace each other are learnt."""
+    """Wordings that are alike carry a column on; wordings that replace each other are learnt."""
     files = [
         (1, "crm_1", 1, [("Smoker", "none", ["Y", "N"]), ("Quux", "none", ["AB-1"])]),
         (2, "crm_1", 2, [("Smoker Flag", "none", ["N", "Y"]), ("Zorg", "none", ["AB-2"])]),
@@ -222,11 +222,24 @@ def test_split_values_edges(spark):
     assert multivalue.explode_values(long, "rec_id", "license_states").count() == 20000
 
 
-def test_sample_kinds():
-    k = schema_drift.sample_kind
-    assert [k(x) for x in ("12", "20240101", "$1,234.50", "(6.5)", "3/4/20", "07-Mar-1956", "Y", "TRUE", "RD-12", "-", "N/A", None)] == [
-        "whole", "whole", "decimal", "decimal", "date", "date", "flag", "flag", "text", None, None, None]
-    assert schema_drift.column_kind(["1", "2", "x"]) == "whole" and schema_drift.column_kind(["1", "x"]) is None and schema_drift.column_kind(None) is None
+def test_sample_kinds(spark):
+    texts = ["12", "20240101", "$1,234.50", "(6.5)", "3/4/20", "07-Mar-1956", "Y", "TRUE", "RD-12", "-", "N/A", None, " 12 ", "2024-01-05T10:00", "Mar 3, 2024"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r[0] for r in df.select("i", schema_drift.sample_kind(F.col("t")).alias("k")).orderBy("i").select("k").collect()]
+    assert got == ["whole", "whole", "decimal", "decimal", "date", "date", "flag", "flag", "text", None, None, None, "whole", "date", "date"]
+    cols = spark.createDataFrame([(1, ["1", "2", "x"]), (2, ["1", "x"]), (3, None), (4, ["AB-1", "n/a", "Xy 22"])], "i int, s array<string>")
+    kinds = {r["i"]: (r["k"], r["h"]) for r in cols.select("i", schema_drift.column_kind(F.col("s")).alias("k"), schema_drift.sample_shapes(F.col("s")).alias("h")).collect()}
+    assert kinds[1][0] == "whole" and kinds[2][0] is None and kinds[3] == (None, None) and kinds[4] == ("text", ["A-9", "a 9"])
+
+
+def test_consistent_types(spark):
+    files = [(1, "crm_1", 1, [("Zip", "t.zip", ["1.5", "2.25"]), ("Name", "t.name", ["1/2/2024"])]), (2, "crm_1", 2, [("Zip", "t.zip", ["7", "8"]), ("Name", "t.name", ["2024-03-04"])])]
+    df = review(spark, files)
+    raw = spark.createDataFrame([(1, 1, 1, ["(1,200.50)", "1/2/2024"]), (2, 2, 1, ["oops", "soon"]), (3, 2, 2, [None, ""])], "raw_id long, file_id long, row_number long, cells array<string>")
+    t = schema_drift.consistent_table(df, raw, schema_drift.changes(df))
+    got = {r["raw_id"]: r for r in t.collect()}
+    assert str(got[1]["t__zip"]) == "-1200.500000" and got[1]["t__name"] == datetime.date(2024, 1, 2) and got[1]["other_columns"] == {}
+    assert got[2]["t__zip"] is None and got[2]["other_columns"] == {"t.zip as written": "oops", "t.name as written": "soon"} and got[3]["other_columns"] == {}
 
 
 def test_copies_conflicts_identities(spark):
