@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, identifiers, money, redaction, text
 from ledgerloom.operators import checks, clean, compare_runs, findings, gates, mapping, multivalue, numbering, replay, revenue, tieout, versions
-from ledgerloom.runtime import bounded, durable, table
+from ledgerloom.runtime import bounded, durable, stamp, table
 
 #: The day on which ages and ends are judged, tolerances and terms of the queries below.
 AS_OF = "2026-10-31"
@@ -320,23 +322,59 @@ _TIE = rf"""
 
 
 class Tie:
-    """The stages of the tie-out over one input; what several stages read is written out once."""
+    """The stages of the tie-out over one input; each is written out once, when it is first asked for."""
 
     def __init__(self, spark: SparkSession, d: str):
         self.clients = table(spark, d, "clients")
-        self.book = durable(tieout.book_of(table(spark, d, "policies")))
-        self.lines = durable(tieout.lines_of(table(spark, d, "statement_lines")))
-        self.edges = durable(tieout.candidate_edges(self.lines, self.book, self.clients))
+        self.policies, self.statement_lines = table(spark, d, "policies"), table(spark, d, "statement_lines")
 
-    def linked(self) -> DataFrame:
+    @functools.cached_property
+    def book(self) -> DataFrame:
+        return durable(tieout.book_of(self.policies))
+
+    @functools.cached_property
+    def lines(self) -> DataFrame:
+        return durable(tieout.lines_of(self.statement_lines))
+
+    @functools.cached_property
+    def edges(self) -> DataFrame:
+        return durable(tieout.candidate_edges(self.lines, self.book, self.clients))
+
+    @functools.cached_property
+    def _linked(self) -> DataFrame:
         return durable(tieout.classify_links(self.lines, self.edges, self.book, self.clients))
 
+    def linked(self) -> DataFrame:
+        return self._linked
+
+    @functools.cached_property
+    def _rates(self) -> DataFrame:
+        paid = self._linked.where("commission_type in ('NEW', 'RENEWAL')").join(self.book.select("carrier", "policy_id", "line_of_business"), ["carrier", "policy_id"])
+        return durable(paid.groupBy("line_of_business", "commission_type").agg(F.max("amount").alias("monthly_amount")))
+
+    @functools.cached_property
+    def _force(self) -> DataFrame:
+        return durable(tieout.with_expected(tieout.in_force(self.book, tieout.statement_months(self.lines)), self._rates, NEW_MONTHS))
+
     def money(self):
         """(linked, force, due, status, expected) with scheduled amounts: the largest paid per line of business and kind."""
-        linked = self.linked()
-        rates = durable(linked.join(self.book.select("carrier", "policy_id", "line_of_business"), ["carrier", "policy_id"]).where("commission_type in ('NEW', 'RENEWAL')").groupBy("line_of_business", "commission_type").agg(F.max("amount").alias("monthly_amount")))
-        force = durable(tieout.with_expected(tieout.in_force(self.book, tieout.statement_months(self.lines)), rates, NEW_MONTHS))
-        return linked, force, tieout.leg_book(force, linked), tieout.leg_status(linked, self.book), tieout.line_expected(linked, self.book, rates, NEW_MONTHS)
+        linked, force = self._linked, self._force
+        return linked, force, tieout.leg_book(force, linked), tieout.leg_status(linked, self.book), tieout.line_expected(linked, self.book, self._rates, NEW_MONTHS)
+
+
+_TIES: dict[tuple, Tie] = {}
+
+
+def tie_of(spark: SparkSession, d: str) -> Tie:
+    """The tie-out of an input, kept in this session as long as the files it read stay as they were."""
+    stamps = [stamp(spark, f"{d}/{n}.parquet") for n in ("policies", "statement_lines", "clients")]
+    key = (spark.sparkContext.applicationId, d, *stamps)
+    if None in stamps:
+        return Tie(spark, d)
+    if key not in _TIES:
+        _TIES.clear()
+        _TIES[key] = Tie(spark, d)
+    return _TIES[key]
 
 
 @query(f"WITH {_TIE} SELECT carrier, policy_id, _rec, client_id, status, agent_npn FROM book")
@@ -346,12 +384,12 @@ def tie_book_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_TIE} SELECT line_id, policy_id, policy_rec, mask FROM edges")
 def tie_line_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return Tie(spark, d).edges
+    return tie_of(spark, d).edges
 
 
 @query(f"WITH {_TIE} SELECT line_id, candidates, link_reason, link_state, policy_id, match_method FROM linked")
 def tie_line_match(spark: SparkSession, d: str) -> DataFrame:
-    return Tie(spark, d).linked().select("line_id", "candidates", "link_reason", "link_state", "policy_id", "match_method")
+    return tie_of(spark, d).linked().select("line_id", "candidates", "link_reason", "link_state", "policy_id", "match_method")
 
 
 @query(f"WITH {_TIE} SELECT carrier, policy_id, statement_period, has_statement FROM force")
@@ -364,7 +402,7 @@ def tie_in_force(spark: SparkSession, d: str) -> DataFrame:
   UNION ALL SELECT 'STATEMENT_VS_BOOK', carrier, count(*) FILTER (policy_id IS NOT NULL), count(*) FILTER (policy_id IS NULL), 0 FROM linked GROUP BY carrier
   UNION ALL SELECT 'CRM_VS_STATEMENT', carrier, count(*) FILTER (agrees), count(*) FILTER (NOT agrees), 0 FROM legc GROUP BY carrier""")
 def tie_leg_counts(spark: SparkSession, d: str) -> DataFrame:
-    linked, _, due, status, _ = Tie(spark, d).money()
+    linked, _, due, status, _ = tie_of(spark, d).money()
 
     def leg(df: DataFrame, name: str, ok, weak) -> DataFrame:
         return df.groupBy("carrier").agg(F.count_if(ok).cast("bigint").alias("matched"), F.count_if(~ok).cast("bigint").alias("unmatched"), F.count_if(weak).cast("bigint").alias("weak")).select(F.lit(name).alias("leg"), "carrier", "matched", "unmatched", "weak")
@@ -375,18 +413,18 @@ def tie_leg_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_TIE} SELECT carrier, policy_id, statement_period, line_no, status, agrees FROM legc")
 def tie_leg_status(spark: SparkSession, d: str) -> DataFrame:
-    t = Tie(spark, d)
+    t = tie_of(spark, d)
     return tieout.leg_status(t.linked(), t.book).select("carrier", "policy_id", "statement_period", "line_no", "status", "agrees")
 
 
 @query(f"WITH {_TIE} SELECT line_id, CAST(expected AS DECIMAL(12,2)) AS expected, expected_chargeback FROM expected")
 def tie_expected(spark: SparkSession, d: str) -> DataFrame:
-    return Tie(spark, d).money()[4].select("line_id", F.col("expected").cast("decimal(12,2)").alias("expected"), "expected_chargeback")
+    return tie_of(spark, d).money()[4].select("line_id", F.col("expected").cast("decimal(12,2)").alias("expected"), "expected_chargeback")
 
 
 @query(f"WITH {_TIE} SELECT carrier, statement_period, count(*) AS policies, CAST(sum(coalesce(expected, 0)) AS DECIMAL(18,2)) AS expected FROM force WHERE NOT has_statement GROUP BY 1, 2")
 def tie_missing_statement(spark: SparkSession, d: str) -> DataFrame:
-    force = Tie(spark, d).money()[1]
+    force = tie_of(spark, d).money()[1]
     return force.where("not has_statement").groupBy("carrier", "statement_period").agg(F.count(F.lit(1)).cast("bigint").alias("policies"), F.sum(F.coalesce("expected", F.lit(0))).cast("decimal(18,2)").alias("expected"))
 
 
@@ -399,7 +437,7 @@ def tie_missing_statement(spark: SparkSession, d: str) -> DataFrame:
   UNION ALL SELECT 'TIE-005', 'MISSING_STATEMENT', carrier, statement_period, NULL, NULL, NULL, NULL, CAST(sum(coalesce(expected, 0)) AS DECIMAL(12,2)) FROM force WHERE NOT has_statement GROUP BY carrier, statement_period
   UNION ALL SELECT 'TIE-006', 'WEAK_MATCH', carrier, statement_period, line_no, policy_id, agent_npn, amount, NULL FROM linked WHERE match_method = 'NAME_DOB'""")
 def tie_variances(spark: SparkSession, d: str) -> DataFrame:
-    linked, force, due, status, expected = Tie(spark, d).money()
+    linked, force, due, status, expected = tie_of(spark, d).money()
     return tieout.variances(linked, due, status, expected, force, LINE_USD, LINE_PCT)
 
 
@@ -409,7 +447,7 @@ def tie_variances(spark: SparkSession, d: str) -> DataFrame:
   SELECT group_by, key, CAST(coalesce(e, 0) AS DECIMAL(18,2)) AS book_expected, CAST(coalesce(a, 0) AS DECIMAL(18,2)) AS statement_paid, CAST(coalesce(a, 0) - coalesce(e, 0) AS DECIMAL(18,2)) AS difference, CAST(coalesce(o, 0) AS DECIMAL(18,2)) AS unexplained_revenue,
   abs(coalesce(a, 0) - coalesce(e, 0)) <= abs(coalesce(e, 0)) * {TOTAL_PCT} AS within_tolerance FROM bt FULL OUTER JOIN pt USING (group_by, key)""")
 def tie_totals(spark: SparkSession, d: str) -> DataFrame:
-    linked, force, _, _, expected = Tie(spark, d).money()
+    linked, force, _, _, expected = tie_of(spark, d).money()
     return tieout.totals(linked, force, expected, TOTAL_PCT)
 
 
@@ -419,13 +457,13 @@ def tie_totals(spark: SparkSession, d: str) -> DataFrame:
     FROM strong s JOIN lines l USING (line_id) JOIN book b ON b._rec = s.policy_rec JOIN ppl p ON p.k = regexp_replace(lower(l.member_name), '[^a-z]', '', 'g') AND p.dob = l.born WHERE p.k <> '' AND trim(b.client_id) IN (SELECT client FROM ppl) GROUP BY s.line_id, s.policy_rec, b.client_id)
   SELECT policy_rec, filed AS filed_client, max(named) AS named_client, count(*) AS lines FROM v WHERE named IS NOT NULL GROUP BY 1, 2 HAVING min(named) = max(named) AND max(named) <> filed""")
 def chk_misfiled(spark: SparkSession, d: str) -> DataFrame:
-    t = Tie(spark, d)
+    t = tie_of(spark, d)
     return checks.misfiled(t.edges, t.lines, t.book, t.clients)
 
 
 @query(f"""WITH {_TIE} SELECT l.line_id, e.evidence FROM lines l LEFT JOIN (SELECT line_id, array_to_string(list_sort(list(policy_id || ':' || array_to_string(list_filter([CASE WHEN mask & 1 <> 0 THEN 'MEMBER_ID' END, CASE WHEN mask & 2 <> 0 THEN 'POLICY_REF' END, CASE WHEN mask & 4 <> 0 THEN 'NAME_DOB' END], lambda x: x IS NOT NULL), '+'))), '|') AS evidence FROM edges GROUP BY 1) e USING (line_id)""")
 def tie_link_evidence(spark: SparkSession, d: str) -> DataFrame:
-    t = Tie(spark, d)
+    t = tie_of(spark, d)
     return tieout.link_evidence(t.lines, t.edges)
 
 
@@ -437,7 +475,7 @@ def _no(c: str) -> str:
   SELECT line_id, 'name_blank' AS reason FROM u WHERE {_no('member_name')} UNION ALL SELECT line_id, 'dob_blank' FROM u WHERE {_no('member_dob')}
   UNION ALL SELECT line_id, 'dob_malformed' FROM u WHERE NOT {_no('member_dob')} AND born IS NULL UNION ALL SELECT line_id, 'keys_blank' FROM u WHERE {_no('carrier_member_id')} AND {_no('policy_ref')}""")
 def tie_unresolved_reasons(spark: SparkSession, d: str) -> DataFrame:
-    return tieout.unresolved_reasons(Tie(spark, d).linked(), table(spark, d, "statement_lines"))
+    return tieout.unresolved_reasons(tie_of(spark, d).linked(), table(spark, d, "statement_lines"))
 
 
 @query(f"SELECT rule_id, reason_code, count(*) AS variances, CAST(sum(abs(coalesce(paid, 0) - coalesce(expected, 0))) AS DECIMAL(18,2)) AS dollars FROM ({SQL['tie_variances']}) GROUP BY 1, 2")

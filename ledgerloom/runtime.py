@@ -64,6 +64,16 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stamp(spark: SparkSession, path: str) -> tuple | None:
+    """Names, sizes and times of the files under a path, so that one can tell whether they changed; None if unknown."""
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is None:
+        return None
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+
+
 def bounded(df: DataFrame, most: int, what: str) -> list:
     """The rows of a table that is small by its nature (a reference list, a vocabulary). More than most rows raise:
     such a table is none, and the driver must not take it in."""
