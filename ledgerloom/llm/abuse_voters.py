@@ -24,7 +24,7 @@ WORDS = {
     "mild": "fool fools clown clowns pig pigs leech* parasite* vermin loser* liar* crook* thief thieves fraud* creep creeps pervert* freak* weirdo* coward* hag swine turd maggot* "
             "crybaby brat disgrace inutil* payas* cerd* ladron* mentiros* cobarde* asco escoria ignorante* sinverguenza* parasito* lacra",
     "beast": "dog dogs cow cows rat rats snake snakes worm worms weasel* monkey* ape apes jackal* mule trash garbage rubbish filth joke waste sack bum bums burro burra bruto bruta perro perros perra rata ratas basura bestia* animal",
-    "swear": "fuck* shit* bullshit crap crappy damn damned goddamn* bloody piss* arse ass bollocks wtf stfu gtfo kys foad mierda* joder jodid* joda jodete chinga* pinche* carajo cojones cono hostia verga cagada cagar*",
+    "swear": "fuck* shit* bullshit crap crappy damn damned goddamn* piss* arse ass bollocks wtf stfu gtfo kys foad mierda* joder jodid* joda jodete chinga* pinche* carajo cojones cono hostia verga cagada cagar*",
     "negative": "stupid stupider stupidest dumb dumber dumbest idiotic moronic brainless mindless clueless useless worthless pathetic disgusting filthy ugly fat lazy incompetent retarded braindead spineless miserable rotten vile "
                 "disgraceful lying dirty greedy ignorant inferior revolting repulsive worst sick subhuman crooked stinking sucio* asqueros* maldit* inutil* patetic* repugnante* feo fea gord* vago vaga podrid* miserable* ignorante* despreciable*",
     "slur": "nigger* nigga* kike* spic spics wetback* chink* gook* faggot* fag fags dyke* tranny trannies towelhead* raghead* sandnigger* beaner* coon coons paki pakis gypo* darkie* honky redskin* mongoloid* tard tards libtard* sudaca* "
@@ -47,7 +47,7 @@ WORDS = {
     "sexbody": "breast* tits tit titties boobs boob ass asses butt cock cocks dick dicks penis pussy vagina clit nipple* thigh* crotch balls cum cunt groin erection boner cleavage tetas tetitas culo verga polla pene vagina chocha cono pezon* muslos nalgas trasero senos panocha pito",
     "sexverb": "suck* lick* fuck* bang* screw* ride rides riding strip strips stripping undress* grope* groping fondl* moan* thrust* penetrat* masturbat* jerk* finger* bend bent spread* kiss* touch* caress* grind* mount* taste tasting squeez* swallow* "
                "rub rubbing pound* straddl* spank* slide sliding press* pushed begg* chupa* chupar* lamer* lamo coger* cogerte follar* follarte tirarte besar* tocar* tocarte acariciar* montar* mont* gem* desnud* desvest* manosear* mamar* mamarme",
-    "arousal": "horny aroused naked nude nudes topless sexy sex sexual orgasm* porn porno blowjob* handjob* xxx threesome* lustful slutty naughty kinky desnud* cachond* sexo sexi excitad*",
+    "arousal": "horny aroused naked nude nudes topless sexy sex orgasm* porn porno blowjob* handjob* xxx threesome* lustful slutty naughty kinky desnud* cachond* sexo sexi excitad*",
     "garment": "bra bras panties panty blouse clothes shirt skirt underwear lingerie dress thong robe pants bikini ropa blusa falda bragas tanga calzones sujetador vestido",
     "picture": "pic pics picture* photo* video* selfie* cam webcam foto* fotito* videito* imagen* show send wearing wear imagine dream* ensena* muestra* mandame manda enviame envia lleva* puesto",
     "place": "bed bedroom room hotel lap desk knees couch shower cama habitacion rodillas regazo ducha",
@@ -71,6 +71,7 @@ WORDS = {
     "home": "back country welcome place english human belong* full race power gas heil jungle came home pais regresen vuelvan fuera",
     "intimate": "top inside body alone moan* scream* wet cum sex lap face bed cama knees",
     "hot": "hard wet horny hot aroused turned turn turns caliente cachond* excitad* mojad*",
+    "curves": "lips lip legs body chest feet curves skin tongue hips labios piernas cuerpo pecho",
     "self": "feel felt feeling myself mistake oops silly confused embarrassed siento",
 }
 #: Words that disguises are resolved to: what insults, swears, threatens or is sexual.
@@ -279,7 +280,7 @@ VOTERS = (
     ("your_sex_body", 2, "sexual", says(r"(?:your|my|her|his|ur|tu|tus|mi|mis|sus|those|that|nice|sweet|tight|hot|big) (?:\w+ ){0,2}?(?:" + alt("sexbody", but=("breast*", "balls")) + ")")),
     ("undress_for_me", 2, "sexual", both(either(has("garment"), has("arousal"), says(r"take (?:it|them|that|everything) off|clothes off|strip for|undress|naked|without (?:your|any) clothes|sin ropa|quitate|desnud\w+")), either(has("you"), has("me")), either(says(r"(?:take|slip|rip|tear|get|pull|quit\w+|wearing|under|off|for me|show|without|sin|imagine|out of|look\w* (?:good|great|hot|better)|puesto)"), has("sexverb")))),
     ("picture_wanted", 2, "sexual", both(near("picture", "you", 8, True), either(has("sexbody"), has("arousal"), has("garment"), has("place")))),
-    ("picture_of_nakedness", 2, "sexual", both(has("picture"), either(has("arousal"), near("picture", "sexbody", 6)), says(r"(?:send|show|give|text|email|post|want|mand\w+|envi\w+|ensen\w+|muestr\w+) (?:me|us|over|a|an|some|more|your|una|tu)|mandame|enviame|ensename|muestrame"))),
+    ("picture_of_nakedness", 2, "sexual", both(has("picture"), either(has("arousal"), near("picture", "sexbody", 6), says(r"(?:show|send|ensename|muestrame|mandame) (?:me )?(?:\w+ ){0,2}?(?:of )?(?:your|tu|tus) (?:\w+ ){0,2}?(?:lips|legs|body|chest|feet|curves|skin|tongue|hips|labios|piernas|cuerpo|pecho)|(?:pic|picture|photo|foto)s? (?:of|de) (?:your|tu|tus) (?:lips|legs|body|chest|curves|piernas|cuerpo)")), says(r"(?:send|show|give|text|email|post|want|mand\w+|envi\w+|ensen\w+|muestr\w+) (?:me|us|over|a|an|some|more|your|una|tu)|mandame|enviame|ensename|muestrame"))),
     ("wants_you", 2, "sexual", says(r"(?:want|need|love|like|dying|wanna|going|quiero|me gustaria|let me|imagin\w+|think\w* (?:about|of)|dream\w* (?:about|of)) (?:\w+ ){0,3}?(?:taste|touch|feel|lick|kiss|fuck|ride|bend|undress|see|have|be|hold|squeeze|spank|tocarte|besarte|verte|tenerte|cogerte|comerte|lamerte|spread|strip|touching|kissing|riding) (?:\w+ ){0,2}?(?:you|your|naked|nude|desnuda|desnudo|me|in bed|on top|inside|en mi cama|sin ropa)|sit on my (?:face|lap)|bend you over|make you (?:moan|scream|wet|cum|come|beg)|come to my (?:room|place|hotel|bed)|in my bed|on top of (?:you|me)|inside (?:you|me)|all over (?:your|my|her|his) body|hands? all over|get you (?:naked|wet|alone)|ride me|suck (?:me|my|it|on)|on your knees|sleep with me|acuestate|have sex|sex with|touch(?:ing)? (?:myself|yourself)")),
     ("explicit_story", 2, "sexual", both(has("third"), has("sexverb"), either(has("sexbody"), has("arousal"), says(r"(?:her|his) (?:\w+ )?(?:lips|mouth|tongue|skin|body|hips|waist|neck|thighs|hair|chest|fingers|knees)|moan\w*|panting|begged|against (?:her|him|the wall)"), near("third", "garment", 3)))),
     ("arousal_by_you", 2, "sexual", both(either(has("you"), has("me")), says(r"(?:makes?|get|gets|getting|got|turn|turns|so|feel|how|me pones|pones|estoy) (?:me |you |myself )?(?:so |all |really |muy |bien |how )?(?:hard|wet|horny|hot|aroused|turned on|off|caliente|cachond\w|excitad\w|mojad\w)|horny|turn me on|(?:hard|wet) for (?:me|you|him|her)|(?:so|rock|getting|is|am|are) (?:\w+ )?(?:hard|wet) (?:right now|when|for|thinking|just)"))),
@@ -303,7 +304,7 @@ ASKED = {
     "self_harm_pushed": ("harm death lonely",), "threat_words": ("harm", "you"), "slur": ("slur",), "group_dehumanised": ("group", "dehumanise"), "group_demeaned": ("group", "negative mild swear"), "group_expelled": ("group", "expel"),
     "those_people": ("people", "negative dehumanise expel mild swear lack"), "back_where_from": ("home",), "group_generalised": ("group",), "group_refused": ("group", "negative dehumanise expel mild people"), "hate_of_group": ("group",),
     "sex_body": ("sexbody",), "arousal_word": ("arousal",), "sex_acts": ("sexverb", "sexbody arousal"), "your_sex_body": ("sexbody",), "undress_for_me": ("garment arousal sexverb", "you me"), "picture_wanted": ("picture", "you", "sexbody arousal garment place"),
-    "picture_of_nakedness": ("picture", "arousal sexbody"), "wants_you": ("sexverb arousal place intimate", "you me"), "explicit_story": ("third", "sexverb"), "arousal_by_you": ("hot", "you me"),
+    "picture_of_nakedness": ("picture", "arousal sexbody curves"), "wants_you": ("sexverb arousal place intimate", "you me"), "explicit_story": ("third", "sexverb"), "arousal_by_you": ("hot", "you me"),
 }
 _GROUPS = {name: tuple(sum(BIT[c] for c in g.split()) for g in groups) for name, groups in ASKED.items()}
 _ABUSE = [(k, _GROUPS[v[0]], v[3]) for k, v in enumerate(VOTERS) if v[1]]
