@@ -2,9 +2,14 @@
 
 import datetime
 import random
+import sys
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
+sys.path.insert(0, str(Path(__file__).parent))
+import abuse_cases  # noqa: E402
+
 from ledgerloom.llm import abuse, address_match, canonical, linkage, mixing, packing, pii, tokens
 
 T = datetime.datetime
@@ -162,6 +167,18 @@ def test_tokens(spark):
     assert got[1] == 2 and got[2] == got[3] == 0 and got[4] >= 20000
 
 
+def test_abuse_on_unseen_wording(spark):
+    """Fitted on a table of documents, measured on sentences that no table holds: recall and precision of nine in ten."""
+    from ledgerloom.runtime import table
+
+    _, w, bias = abuse.fit(table(spark, "/root/testdata/sf0.1", "documents"))
+    scorer = abuse.Scorer(w, bias)
+    for bad, good in ((abuse_cases.ABUSIVE, abuse_cases.HARMLESS), (abuse_cases.LATER_ABUSIVE, abuse_cases.LATER_HARMLESS)):
+        hit = sum(scorer.text(t) >= abuse.ACCEPT for t in abuse_cases.lines(bad))
+        false = sum(scorer.text(t) >= abuse.ACCEPT for t in abuse_cases.lines(good))
+        assert hit / len(abuse_cases.lines(bad)) >= 0.9 and hit / (hit + false) >= 0.88
+
+
 def test_abuse(spark):
     bad = ["you are a stupid moron", "Stop sending this crap, idiot!!", "I will find out where you live", "show me your naked body"]
     good = ["the form is late again", "please send the letter", "This form is idiot-proof", "The screening benefit covers breast exams", "no change since June"]

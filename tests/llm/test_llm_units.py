@@ -3,6 +3,8 @@
 import itertools
 import math
 import random
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -10,6 +12,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from ledgerloom.llm import abuse, abuse_voters, address_match, address_parts, canonical, linkage, mixing, packing, person_names, pii, pii_corpus
+sys.path.insert(0, str(Path(__file__).parent))
+import pii_cases  # noqa: E402
+
 from ledgerloom.llm.bilstm_crf import STRIDE, WINDOW, Tagger, encode
 
 
@@ -206,16 +211,34 @@ def test_windows_of_text():
 
 def test_label_model_separates():
     bit = {n: 1 << k for k, (n, *_) in enumerate(abuse_voters.VOTERS)}
-    patterns = {0: 100_000, bit["calm_context"]: 1500, bit["calm_context"] | bit["body_words"]: 200, bit["report_context"]: 900, bit["insult_en"] | bit["insult_addressed"]: 300, bit["threat"]: 150, bit["hate_phrase"] | bit["group_demeaned"]: 120,
-                bit["hate_phrase"]: 60, bit["sexual_phrase"] | bit["body_words"] | bit["undress_me"]: 100, bit["sexual_phrase"]: 30}
-    m = abuse.LabelModel(list(patterns), list(patterns.values()))
-    p = {k: m.of(k) for k in patterns}
-    assert all(v < 0.1 for k, v in p.items() if k in (0, bit["calm_context"], bit["calm_context"] | bit["body_words"], bit["report_context"]))
-    assert all(p[k] > 0.5 for k in (bit["insult_en"] | bit["insult_addressed"], bit["threat"], bit["hate_phrase"], bit["sexual_phrase"], bit["hate_phrase"] | bit["group_demeaned"]))
+    of = lambda *names: sum(bit[n] for n in names)
+    clean = {of("sex_body", "calm_medical"): 200, of("swear_word", "calm_figure"): 150, of("threat_words", "calm_figure"): 120, of("negative_word", "calm_self"): 90}
+    bad = {of("insult_word", "insult_to_you"): 300, of("threat_words", "harm_to_you"): 150, of("group_dehumanised", "group_demeaned"): 120, of("group_dehumanised"): 60, of("your_sex_body", "sex_body", "sex_acts"): 100, of("wants_you"): 30}
+    m = abuse.LabelModel([0, *clean, *bad], [100_000, *clean.values(), *bad.values()])
+    assert m.of(0) == 0 and all(m.of(k) < 0.3 for k in clean) and all(m.of(k) > 0.5 for k in bad)
+    assert (m.parent >= -1).all() and (m.rate1[:, m.parent < 0] == m.rate0[:, m.parent < 0]).all()
 
 
 def test_classifier_learns():
     texts = ["you are a moron", "what a moron you are", "the form is late", "please send the form"] * 30
-    w, b = abuse.train_classifier(texts, np.array([1.0, 1, 0, 0] * 30), np.ones(120))
-    s = lambda t: w[abuse.features(t)].sum() + b
+    patterns = [abuse_voters.votes(t) for t in texts]
+    w, b = abuse.train_classifier(texts, patterns, np.array([1.0, 1, 0, 0] * 30), np.ones(120))
+    s = lambda t: w[abuse.features(t, abuse_voters.votes(t))].sum() + b
     assert s("such a moron") > 0 > s("send the late form")
+    scorer = abuse.Scorer(w, b)
+    assert abs(scorer.segment("such a moron") - s("such a moron")) < 1e-4 and scorer.text("") == scorer.text(None) == scorer.text("!!") == 0.0
+    assert scorer.text("the form. " * 5000 + "you are a moron") == scorer.text("you are a moron") > 0.5
+
+
+def test_finder_on_unseen_notes():
+    """Notes written by hand, with wording, names and forms that the grammar does not hold."""
+    cases = list(pii_cases.cases())
+    found = pii.spans_of([t for t, _ in cases])
+    hit = sum(len(set(f) & set(s)) for f, (_, s) in zip(found, cases))
+    assert hit / sum(len(s) for _, s in cases) >= 0.85 and hit / sum(map(len, found)) >= 0.9
+
+
+def test_ends_of_addresses_and_everyday_words():
+    t = "at 12 Oak Court. Old one, ask grandson"
+    assert pii.settle(t, 3, 20, "street_address") == (3, 15) and pii.settle(t, 30, 38, "person_name") is None
+    assert pii.settle("policy no. 123456789 is open", 11, 20, "id_number") is None
