@@ -81,6 +81,8 @@ class LabelModel:
             if r >= 5:
                 self.parent = self._tree(joint, single, size)
             self.rate1, self.rate0 = self._conditional(joint, single, size, rates)
+            for rate in (self.rate1, self.rate0):  # what speaks against abuse stays rare on abusive windows, whatever its neighbour
+                rate[1:] = np.where(side == 0, np.minimum(rate[1:], most[1:]), rate[1:])
             self.prior = np.clip((size + np.array([4.0] + [1.0] * (C - 1))) / (n.sum() + 8), 0.02, None)
             self.prior /= self.prior.sum()
 
