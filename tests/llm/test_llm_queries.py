@@ -80,6 +80,23 @@ def test_linkage_filler_date_and_other_agent(spark):
     assert len(got) >= 55 and all(r["client_id"] == f"C{r['line_id']}" for r in got)
 
 
+def test_linkage_pairs_stay_few(spark):
+    """Many people share a birth date and the house account; pairs that show no more than that must not pile up."""
+    r = random.Random(5)
+    word = lambda k: "".join(r.choice("aeiou") + r.choice("bdfgklmnprstvz") for _ in range(k))
+    who = [(f"C{i}", f"k{word(3)}", f"lor{word(4)}", datetime.date(1950 + i % 10, 5, 5)) for i in range(400)]
+    c = spark.createDataFrame(who, "client_id string, first_name string, last_name string, dob date")
+    p = spark.createDataFrame([(x[0], "X", "A1") for x in who], "client_id string, carrier string, writing_agent_npn string")
+    s = spark.createDataFrame([(i, f"{x[2]}, {x[1]}", x[3].isoformat(), "X", "A1", None, None) for i, x in enumerate(who)],
+                              "line_id long, member_name string, member_dob string, carrier string, agent_npn string, carrier_member_id string, policy_ref string")
+    tagged = linkage.line_people(s)
+    sigs, folk, ctx = linkage._signatures(tagged), linkage.client_people(c), linkage.contexts(p)
+    pairs = linkage.candidate_pairs(sigs, folk, ctx)
+    assert pairs.count() < 2000  # 400 are right; 160,000 share agent, initial and three letters
+    own = pairs.join(tagged, "sig").join(folk, "cid").where(F.col("client_id") == F.concat(F.lit("C"), "line_id"))
+    assert own.count() == 400
+
+
 def test_linkage_empty(spark):
     s, c, p = people(spark, 30)
     assert linkage.link(s.limit(0), c, p).count() == 0 and linkage.link(s, c.limit(0), p).count() == 0
